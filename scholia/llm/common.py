@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words, for Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
@@ -49,3 +50,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary; ``folder`` or $TOKENIZER_DIR names another place."""
     return os.path.join(folder or os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
