@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontam, oracles, rules, simhash
+from scholia.llm import decontam, mixture, oracles, rules, simhash
 from scholia.llm.common import table
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixture": op2_mixture,
         "op3_simhash": op3_simhash,
         "op7_quality_rules": op7_quality_rules,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
