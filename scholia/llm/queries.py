@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontam, mixture, oracles, rules, simhash
+from scholia.llm import decontam, mixture, oracles, rules, secret_scan, simhash
 from scholia.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixture": op2_mixture,
         "op3_simhash": op3_simhash,
+        "op5_secret_scan": op5_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }
