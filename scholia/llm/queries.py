@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontam, mixture, oracles, rules, secret_scan, simhash
+from scholia.llm import classifier, decontam, mixture, oracles, rules, secret_scan, simhash
 from scholia.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.scored(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_mixture": op2_mixture,
         "op3_simhash": op3_simhash,
         "op5_secret_scan": op5_secret_scan,
