@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import classifier, decontam, mixture, oracles, rules, secret_scan, simhash
+from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, secret_scan, simhash
 from scholia.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(
         "longest_match", "longest_at", "longest_item"
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_secret_scan": op5_secret_scan,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_packing": op8_token_packing,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }
 
