@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, secret_scan, simhash
+from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, secret_scan, simhash, warc
 from scholia.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_token_packing": op8_token_packing,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_warc_derivatives": op10_warc_derivatives,
     }
 
 
