@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, secret_scan, simhash, warc
+from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, sanitise, secret_scan, simhash, warc
 from scholia.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixture": op2_mixture,
         "op3_simhash": op3_simhash,
         "op5_secret_scan": op5_secret_scan,
+        "op6_sanitisation": op6_sanitisation,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_packing": op8_token_packing,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
