@@ -85,7 +85,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)"""
 
 
+def op4() -> str:
+    """All stretches of 50 words, as text."""
+    return r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, doc_id, unnest(range(0, len(w) - 49)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i+49], ' '))) AS k FROM d WHERE len(w) >= 50
+), f AS (
+  SELECT r, i, least FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c, min(doc_id) OVER (PARTITION BY k) AS least FROM g) WHERE c > 1
+), n AS (
+  SELECT *, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS island FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM f)
+), s AS (
+  SELECT r, min(i) AS a, max(i) + 50 AS b, min(least) AS least FROM n GROUP BY r, island
+)
+SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words, sum(b - a)::BIGINT AS n_repeated, count(*)::BIGINT AS n_spans,
+  string_agg(a || ':' || b, ',' ORDER BY a) AS spans, min(least) AS first_doc_id
+FROM s JOIN d USING (r) GROUP BY r, d.doc_id"""
+
+
 SQL = {
+    "op4_suffix_dedup": op4(),
     "op7_quality_rules": op7(),
     "op9_benchmark_decontamination": op9(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, sanitise, secret_scan, simhash, warc
+from scholia.llm import classifier, decontam, mixture, oracles, packing, rules, sanitise, secret_scan, simhash, suffix_dedup, warc
 from scholia.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_mixture": op2_mixture,
         "op3_simhash": op3_simhash,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_secret_scan": op5_secret_scan,
         "op6_sanitisation": op6_sanitisation,
         "op7_quality_rules": op7_quality_rules,
