@@ -228,9 +228,11 @@ def blanked(s: str, spans: list[Token], fill: str = " ") -> str:
 
 # --- Functions of languages with braces ----------------------------------------------
 
-_CONTROL = re.compile(
-    r"(?:if|for|foreach|while|switch|catch|using|lock|fixed|with|synchronized|else|do|try|return|match|guard|repeat|when|select|sizeof|defer|unsafe|loop|finally|namespace|struct|class|enum|union|interface|trait|impl|mod|extern|protocol|extension|object|package|record|module|new|throw|await|case|default|in|checked|unchecked|get|set|add|remove)\b"
-)
+#: Words before a bracket pair that make it no parameter list.
+_CONTROL = re.compile(r"(?:if|for|foreach|while|switch|catch|using|lock|fixed|with|synchronized|return|match|guard|when|sizeof|throw|await|new|typeof|defined|alignas|decltype|super|this)")
+#: Words that no function's head has before its name.
+_NOT_BEFORE = re.compile(r"\b(?:new|return|throw|await|else|do|case|goto)\b")
+_TYPES = re.compile(r"\b(?:class|interface|enum|record|struct|namespace|object)\b")
 _NAME_BEFORE_PARENS = re.compile(r"(~?[A-Za-z_$\x80-\xff][\w$\x80-\xff]*|operator\s*\S{1,3})\s*(?:<[^<>(){}]*>\s*)?\Z")
 _WORD = re.compile(r"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*")
 
@@ -304,72 +306,76 @@ def _expression_end(code: str, at: int, close: dict[int, int]) -> int:
     return k
 
 
-def _last_parens(head: str) -> tuple[int, int] | None:
-    """The outer bracket pair of a head that holds the parameters: the first one after a name."""
-    depth, start = 0, -1
+def _bracket_pairs(head: str) -> list[tuple[int, int]]:
+    """Outer round brackets of a head that follow a name: any of them may hold the parameters."""
+    out, depth, start = [], 0, -1
     for k, ch in enumerate(head):
         if ch in "([":
-            if depth == 0:
-                start = k
+            start = k if depth == 0 else start
             depth += 1
         elif ch in ")]":
             depth -= 1
-            if depth == 0 and ch == ")" and start >= 0 and head[start] == "(":
-                before = head[:start].rstrip()
-                if before and _NAME_BEFORE_PARENS.search(before):
-                    return start, k + 1
-    return None
+            if depth == 0 and ch == ")" and start >= 0 and head[start] == "(" and _NAME_BEFORE_PARENS.search(head[:start].rstrip()):
+                out.append((start, k + 1))
+    return out
+
+
+#: What may stand between the parameters and the body.
+_AFTER = {
+    "c": re.compile(r"\s*(?:__\w+(?:\s*\(\(?[^()]*\)?\))?\s*)*"),
+    "cpp": re.compile(
+        r"\s*(?:(?:const|noexcept(?:\s*\([^()]*\))?|override|final|volatile|mutable|try|&{1,2}|__\w+(?:\s*\(\(?[^()]*\)?\))?|->[^;{}]*|throw\s*\([^)]*\)|requires\b.*)\s*)*(?::(?!:).*)?", re.S
+    ),
+    "java": re.compile(r"\s*(?:\[\s*\]\s*)*(?:throws\s[\w\s.,<>@]*)?"),
+    "csharp": re.compile(r"\s*(?::\s*(?:base|this)\s*\(.*\))?\s*(?:where\s[^{}]*)?", re.S),
+    "javascript": re.compile(r"\s*"),
+    "typescript": re.compile(r"\s*(?::[^;{}]*)?\s*"),
+    "tsx": re.compile(r"\s*(?::[^;{}]*)?\s*"),
+}
+
+
+def _flat(text: str) -> str:
+    while (less := re.sub(r"\([^()]*\)|\[[^\[\]]*\]", "", text)) != text:
+        text = less
+    return text
+
+
+_ABOVE = re.compile(r"^[ \t]*#(?:[^\n\\]|\\\n|\\.)*$|\b(?:public|private|protected)\s*:(?!:)", re.M)
+
+
+def _own_head(code: str, start: int, at: int, lang: str) -> int:
+    """Where a C head begins, after preprocessor lines, access labels and template parameters."""
+    if lang not in ("c", "cpp"):
+        return start
+    above = [m.end() for m in _ABOVE.finditer(code[start:at])]
+    start += above[-1] if above else 0
+    if template := re.match(r"\s*template\s*<", code[start:at]):
+        depth, k = 1, start + template.end()
+        while k < at and depth:
+            depth += (code[k] == "<") - (code[k] == ">")
+            k += 1
+        start = k
+    return start
 
 
 def _plain_head(code: str, start: int, at: int, lang: str) -> tuple[str, int] | None:
     """(name, start) if a head reads like ``type name(parameters) qualifiers`` of a function."""
+    start = _own_head(code, start, at, lang)
     head = code[start:at]
-    if lang in ("c", "cpp"):
-        # Preprocessor lines and access labels stand before a definition, not in it.
-        for m in re.finditer(r"^[ \t]*#(?:[^\n\\]|\\\n|\\.)*$|\b(?:public|private|protected)\s*:(?!:)", head, re.M):
-            start += m.end() - (start - (at - len(head)))
-            head = code[start:at]
-            return _plain_head(code, start, at, lang)
-        template = re.match(r"\s*template\s*<", head)
-        if template:
-            depth, k = 1, template.end()
-            while k < len(head) and depth:
-                depth += (head[k] == "<") - (head[k] == ">")
-                k += 1
-            start += k
-            head = code[start:at]
-    if lang == "csharp":
-        head = re.sub(r"\bwhere\s+\w+\s*:[^{]*\Z", lambda m: " " * len(m[0]), head)
-    found = _last_parens(head)
-    if not found:
-        return None
-    a, b = found
-    name = _NAME_BEFORE_PARENS.search(head[:a].rstrip())[1]
-    before, after = head[: a], head[b:]
-    if _CONTROL.fullmatch(name) or re.match(r"\s*(?:" + _CONTROL.pattern + ")", before) and not re.match(r"\s*(?:extern|unsafe|default|get|set|add|remove|new|in|fixed|async|checked)\b", before):
-        return None
-    if re.search(r"(?<![=!<>])=(?!=)", before) and "operator" not in name or re.search(r"\b(?:new|return|throw|await)\b", before):
-        return None
-    if lang in ("c", "cpp"):
-        if not re.fullmatch(r"\s*(?:(?:const|noexcept(?:\s*\([^()]*\))?|override|final|volatile|mutable|try|&{1,2}|__\w+(?:\s*\(\(?[^()]*\)?\))?|->[^;{}]*|throw\s*\([^)]*\)|requires\b.*)\s*)*(?::(?!:).*)?", after, re.S):
-            return None
-        if not before[: len(before.rstrip()) - len(name)].strip() and lang == "c":
-            return None  # a macro call with a block
-    elif lang in ("java",):
-        if not re.fullmatch(r"\s*(?:\[\s*\]\s*)*(?:throws\s[\w\s.,<>@]*)?", after):
-            return None
-        if re.search(r"\bnew\s", before):
-            return None
-    elif lang == "csharp":
-        if not re.fullmatch(r"\s*(?::\s*(?:base|this)\s*\(.*\))?\s*", after, re.S):
+    for a, b in _bracket_pairs(head):
+        if not _AFTER[lang].fullmatch(head[b:]):
+            continue
+        name = _NAME_BEFORE_PARENS.search(head[:a].rstrip())[1]
+        before = _flat(head[:a])
+        typed = before[: len(before.rstrip()) - len(name)].strip()
+        if _CONTROL.fullmatch(name) or _NOT_BEFORE.search(typed) or (lang not in ("c", "cpp") and _TYPES.search(typed)):
             return None
-    else:
-        if not re.fullmatch(r"\s*(?::[^;{}]*)?\s*", after, re.S):
+        if "operator" not in name and re.search(r"(?<![=!<>])=(?!=)", typed):
             return None
-    own = start + len(head) - len(head.lstrip())
-    if lang in ("java", "csharp", "cpp", "typescript", "tsx"):
-        pass
-    return name, own
+        if lang == "c" and not typed:
+            return None  # a macro call with a block
+        return name, start + len(head) - len(head.lstrip())
+    return None
 
 
 def _first_name(text: str) -> str:
@@ -460,7 +466,7 @@ def _arrow_functions(code: str, close: dict[int, int], lang: str) -> list[Functi
             continue
         start = _before(code, start, r"(?:async\s+|static\s+)*")
         body = _solid(code, m.end(), len(code))
-        if lang in ("typescript", "tsx") and re.match(r"[^=\n]*=\s*\S", code[body : body + 80]) and re.search(r"\btype\s+\w+[^=;]*=\s*\Z", code[max(0, start - 80) : start]):
+        if lang in ("typescript", "tsx") and re.search(r"\btype\s+\w+[^=;]*=\s*\Z", code[max(0, start - 80) : start]):
             continue  # a function type
         end = close.get(body, len(code) - 1) + 1 if code[body : body + 1] == "{" else _expression_end(code, body, close)
         out.append(Function(name, start, end, body, end))
