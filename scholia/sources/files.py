@@ -8,6 +8,7 @@ are read by the executors through Spark's ``binaryFile`` reader.
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from collections import Counter
 from dataclasses import dataclass, field
@@ -133,16 +134,20 @@ def _relative(path: Path, root: Path) -> str:
         return path.name
 
 
+def _literal(path: Path) -> str:
+    """A path for Spark's readers, with what they take for wildcards escaped."""
+    return re.sub(r"([\\*?\[\]{}^])", r"\\\1", str(path.resolve()))
+
+
 def read(spark: SparkSession, found: list[tuple[Path, Path]]) -> DataFrame:
     """``FILES`` rows of a listing; contents come from Spark's reader, joined to their names."""
-    names = [(k, str(f), _relative(f, root), f.resolve().as_uri()) for k, (f, root) in enumerate(found)]
-    table = spark.createDataFrame(names, "file_ord int, path string, rel string, uri string")
+    names = [(k, str(f), _relative(f, root), str(f.resolve())) for k, (f, root) in enumerate(found)]
+    table = spark.createDataFrame(names, "file_ord int, path string, rel string, place string")
     if not names:
         return table.select("file_ord", "path", "rel", F.lit(None).cast("binary").alias("content"))
-    plain = lambda uri: F.regexp_replace(uri, "^file:/+", "/")
-    contents = spark.read.format("binaryFile").load([n[3] for n in names]).select(plain(F.col("path")).alias("place"), "content")
-    decoded = F.url_decode(F.regexp_replace(plain(F.col("uri")), r"\+", "%2B"))
-    return table.withColumn("place", decoded).join(contents, "place").select("file_ord", "path", "rel", "content")
+    contents = spark.read.format("binaryFile").load([_literal(f) for f, _ in found])
+    contents = contents.select(F.regexp_replace("path", "^file:/+", "/").alias("place"), "content")
+    return table.join(contents, "place").select("file_ord", "path", "rel", "content")
 
 
 def read_tree(spark: SparkSession, root: str, cfg: Config | None = None) -> DataFrame:
@@ -162,7 +167,7 @@ def read_tree(spark: SparkSession, root: str, cfg: Config | None = None) -> Data
         keep = F.udf(lambda r: selected(r, cfg), "boolean")  # on names only
         rows = rows.filter(keep("rel"))
     if cfg.skip_generated:
-        head = F.decode(F.substring("content", 1, fixed.GENERATED_HEAD_BYTES), "UTF-8")
+        head = F.substring("content", 1, fixed.GENERATED_HEAD_BYTES).cast("string")  # bytes that are no text may stay
         marks = F.contains(head, F.lit(fixed.GENERATED_EXACT))
         for m in fixed.GENERATED_ANY_CASE:
             marks |= F.contains(F.lower(head), F.lit(m))
