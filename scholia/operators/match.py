@@ -25,15 +25,37 @@ def norms(old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return old.groupBy(*keys, "norm").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"))
 
 
+#: Files whose comments are ranked together where the whole run is one group.
+SPAN = 1024
+
+
+def _ranked(new: DataFrame, on: list[str], spread: bool) -> DataFrame:
+    """``new`` with the rank ``nth`` of each row among those with equal ``on``, in order of place.
+
+    ``spread``: a group may reach over all files. It is then ranked in spans of
+    files, plus the rows of the spans before, so that no task sorts a whole group.
+    """
+    if not spread:
+        return new.withColumn("nth", F.row_number().over(Window.partitionBy(*on).orderBy(*PLACE)))
+    rows = new.withColumn("span", F.floor(F.col("file_ord") / SPAN).cast("long"))
+    before = Window.partitionBy(*on).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*on, "span").agg(F.count("*").alias("k"))
+    offsets = sums.select(*on, "span", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*on, "span").orderBy(*PLACE))
+    return rows.withColumn("within", within).join(offsets, [*on, "span"]).withColumn("nth", F.col("within") + F.col("before")).drop("span", "within", "before")
+
+
 def consume(new: DataFrame, pool: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(new rows that no old one is left for, the pool with what is left of it).
 
     A multiset difference that keeps row identity: the k-th of equal rows, in
-    order of place, is covered if the pool holds k of them.
+    order of place, is covered if the pool holds k of them. Rows without any old
+    one are not ranked.
     """
     on = [*keys, "norm"]
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy(*PLACE))
-    left = new.withColumn("nth", nth).join(pool.select(*on, "n"), on, "left").filter(F.col("nth") > F.coalesce("n", F.lit(0))).select(*new.columns)
+    counts = pool.select(*on, "n")
+    met = _ranked(new.join(counts, on, "left_semi"), on, not keys)
+    left = met.join(counts, on).filter(F.col("nth") > F.col("n")).select(*new.columns).unionByName(new.join(counts, on, "left_anti").select(*new.columns))
     used = new.groupBy(*on).agg(F.count("*").alias("used"))
     rest = pool.join(used, on, "left").withColumn("n", F.col("n") - F.coalesce("used", F.lit(0))).filter("n > 0").drop("used")
     return left, rest

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import fixed
 from scholia.functions import text as T
+from scholia.operators.lineage import materialise
 from scholia.sources.config import SEVERITIES, Config
 
 COMMENTS = (
@@ -388,21 +389,26 @@ def overridden(findings: DataFrame, cfg: Config) -> DataFrame:
 
 
 def capped(findings: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """At most ``max_hints_per_rule`` hints for each file and rule, and a row that counts the others."""
+    """At most ``max_hints_per_rule`` hints for each file and rule, and a row that counts the others.
+
+    ``findings`` is read three times. The first hints of a group are found by a
+    plain ``row_number <= k``, which Spark limits in each task before the shuffle,
+    and the count combines before its shuffle: a hot group is never gathered.
+    """
     cfg = cfg or Config()
     k = cfg.max_hints_per_rule
-    hint = (c("severity") == INFO).cast("int")
-    own = Window.partitionBy("path", "rule")
-    rows = findings.withColumns({"nth": F.sum(hint).over(own.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum(hint).over(own)})
-    fields = ("ord", "rule", "severity", "line", "end_line", "message", "action", "excerpt")
-    this = F.struct(*(c(x).alias(x) for x in fields))
-    more = F.struct(
-        F.lit(2**31 - 1).alias("ord"), c("rule").alias("rule"), F.lit(INFO).alias("severity"), c("line").alias("line"), c("line").alias("end_line"),
+    fields = ("path", "ord", "rule", "severity", "line", "end_line", "message", "action", "excerpt")
+    findings = findings.select(*fields)
+    hints, others = findings.filter(c("severity") == INFO), findings.filter(c("severity") > INFO)
+    nth = F.row_number().over(Window.partitionBy("path", "rule").orderBy("ord"))
+    first = hints.withColumn("nth", nth).filter(c("nth") <= k)
+    many = hints.groupBy("path", "rule").agg(F.count("*").alias("all")).filter(c("all") > k)
+    last = first.filter(c("nth") == k).join(many, ["path", "rule"])
+    more = last.select(
+        "path", F.lit(2**31 - 1).alias("ord"), "rule", "severity", "line", c("line").alias("end_line"),
         _say(c("all") - k, " more ", c("rule"), " hint(s) in this file, not listed").alias("message"), F.lit(fixed.ACTIONS["overflow"]).alias("action"), F.lit("").alias("excerpt"),
     )
-    last = (c("severity") == INFO) & (c("nth") == k) & (c("all") > k)
-    kept = rows.filter((c("severity") > INFO) | (c("nth") <= k))
-    return kept.select("path", F.inline(F.when(last, F.array(this, more)).otherwise(F.array(this))))
+    return others.unionByName(first.drop("nth")).unionByName(more)
 
 
 def run_rules(comments: DataFrame, functions: DataFrame, cfg: Config | None = None) -> DataFrame:
@@ -412,7 +418,7 @@ def run_rules(comments: DataFrame, functions: DataFrame, cfg: Config | None = No
     found = evaluate(shown, cfg)
     if cfg.enabled("UC006"):
         found = found.unionByName(density(shown, functions, cfg))
-    return capped(overridden(unsuppressed(found, comments, cfg), cfg), cfg)
+    return capped(materialise(overridden(unsuppressed(found, comments, cfg), cfg)), cfg)
 
 
 def ordered(findings: DataFrame) -> DataFrame:

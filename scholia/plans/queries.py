@@ -15,6 +15,7 @@ from scholia.functions import fixed
 from scholia.functions import text as T
 from scholia.operators import match
 from scholia.operators import rules as R
+from scholia.operators.lineage import materialise
 from scholia.plans import report
 from scholia.plans.gate import check, differences, gate
 from scholia.plans.runs import fingerprints
@@ -259,7 +260,7 @@ def hint_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = R.evaluate(R.comment_view(docs, "doc_id", "text", path=c("source"), comment_ord=c("doc_id").cast("int")), only=("STE02",))
     more = F.when(c("message").endswith("not listed"), c("message"))
-    return R.capped(found).select("path", "line", "end_line", more.alias("more"))
+    return R.capped(materialise(found)).select("path", "line", "end_line", more.alias("more"))
 
 
 @query(f"""

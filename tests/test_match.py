@@ -61,6 +61,17 @@ def test_exact_consumption_keeps_later_rows(spark):
     assert {(r.path, r.norm): r.n for r in rest.collect()} == {k: v for k, v in counts.items() if v > 0}
 
 
+def test_ranks_over_spans_of_files(spark, monkeypatch):
+    monkeypatch.setattr(match, "SPAN", 3)
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 20), k, rng.choice("ab")) for k in range(60)]
+    new = spark.createDataFrame(rows, "file_ord int, comment_ord int, norm string")
+    got = {(r.file_ord, r.comment_ord): r.nth for r in match._ranked(new, ["norm"], True).collect()}
+    for norm in "ab":
+        own = sorted((f, o) for f, o, n in rows if n == norm)
+        assert [got[p] for p in own] == list(range(1, len(own) + 1))
+
+
 def test_similarity_bounds():
     assert match.similar("keeps latency low", "keeps latncy low", 0.85)
     assert not match.similar("", "", 0.5) and not match.similar("a", "aaa", 0.1)
