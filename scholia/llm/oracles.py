@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scholia.llm.rules import STOPS, SYMBOLS, VERDICT
+from scholia.llm.secret_scan import BASE, RULES
 
 #: The words of a text, for DuckDB's regular expressions.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -104,8 +105,34 @@ SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words, sum(b - a)::BIGINT AS n_r
 FROM s JOIN d USING (r) GROUP BY r, d.doc_id"""
 
 
+def op5() -> str:
+    """Gaps and matches of each kind alternate: running sums of their lengths are the spans."""
+    kinds = []
+    for k, r in enumerate(RULES):
+        pattern = r.java.replace("'", "''")
+        kinds.append(
+            f"SELECT r, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, unnest(range(len(m))) AS i, unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(h, lambda x: length(x))) AS held,"
+            f" unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS h, regexp_split_to_array(t, '{pattern}') AS g FROM d)"
+        )
+    counts = ", ".join(f"coalesce(count(*) FILTER (k = {k}), 0) AS n_{r.kind}" for k, r in enumerate(BASE))
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  {" UNION ALL ".join(kinds)}
+), p AS (
+  SELECT *, sum(gap + n) OVER (PARTITION BY r, k ORDER BY i) - n AS a, sum(gap + n) OVER (PARTITION BY r, k ORDER BY i) AS b FROM m
+), s AS (
+  SELECT r, k, a, kind || ':' || a || ':' || b AS span FROM p WHERE held >= least
+), f AS (
+  SELECT r, {counts}, string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)"""
+
+
 SQL = {
     "op4_suffix_dedup": op4(),
+    "op5_secret_scan": op5(),
     "op7_quality_rules": op7(),
     "op9_benchmark_decontamination": op9(),
 }
