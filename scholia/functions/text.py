@@ -156,11 +156,15 @@ def to_ascii(text: Column) -> Column:
 # --- Code, banners and diagrams ------------------------------------------------
 
 
+#: Every pattern of code needs one of these; most lines of prose have none and are done.
+_HINT = r"(?d)[;{}(=#@>:]|^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*(?:return|break|continue|pass|import|from)\b"
+
+
 def _code(line: Column, patterns: tuple[str, ...]) -> Column:
     gloss = has(line, fixed.PROSE_ASSIGNMENT) | has(line, rf"^{SPACE}*{fixed.BRACE_GLOSS}{SPACE}*$") | has(line, fixed.ENUM_GLOSS)
     # An assignment that trails off into a sentence: a single full stop at the end, two plain words after the first =.
     tail = has(line, rf"(?<!\.)\.{SPACE}*$") & has(line, rf"^[^=]*=(?s:.*){fixed.PLAIN_WORD}(?s:.*){fixed.PLAIN_WORD}")
-    return has(line, SOLID) & ~gloss & ~tail & has(line, "|".join(f"(?:{p})" for p in patterns))
+    return line.rlike(_HINT) & has(line, "|".join(f"(?:{p})" for p in patterns)) & ~gloss & ~tail
 
 
 def looks_like_code(line: Column) -> Column:

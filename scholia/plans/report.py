@@ -187,6 +187,12 @@ def rule_listing(as_document: bool = False) -> str:
     return "\n".join(f"{i}  [{s:5}]  {t}" + (f"\n       {d}" if d else "") for i, t, s, d, _ in rows)
 
 
+def store(findings: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Writes findings as a table ("parquet" or "json"), from the executors: for trees whose report is too long to read."""
+    named = findings.select("rule", severity_name(c("severity")).alias("severity"), *FIELDS[2:])
+    named.write.mode("overwrite").format(kind).save(path)
+
+
 def fails(findings: DataFrame, least: str) -> bool:
     """Whether any finding is at ``least`` or above; never for "never"."""
     return least != "never" and not findings.filter(c("severity") >= SEVERITIES.index(least)).isEmpty()
