@@ -23,6 +23,7 @@ from scholia.sources.lexer import Function, scan
 _IMPORT = re.compile(fixed.IMPORT_LINE)
 _GO_DECLARATION = re.compile(r"\s*(?:func|type|const|var|package)\b")
 _CGO = re.compile(r"import\s+\"C\"")
+_VISIBLE = re.compile(rb"[^\n]")
 _QUOTES = re.compile(r"[rRuUbBfF]{0,3}(\"\"\"|'''|\"|')")
 _OPENERS = ("/*!", "/**", "/*", "//!", "///", "//")
 
@@ -63,7 +64,7 @@ class _File:
     """One file's bytes as rows, with what the lexer found in it."""
 
     def __init__(self, text: str, language: Language, mark: str):
-        self.data = text.removeprefix("﻿").encode("utf-8", "replace")
+        self.data = text.removeprefix("\ufeff").encode("utf-8", "replace")
         self.language, self.mark = language, mark
         s = self.data.decode("latin-1")
         comments, self.functions, docs, _ = scan(s, language)
@@ -73,12 +74,19 @@ class _File:
         masked = bytearray(self.data)
         held: set[int] = set()
         for a, b, _ in self.found:
-            masked[a:b] = bytes(10 if x == 10 else 32 for x in masked[a:b])
+            masked[a:b] = _VISIBLE.sub(b" ", masked[a:b])
             held.update(range(self.row(a), self.row(b) + 1))
         self.comment_rows = len(held)
         self.code_rows = [r.rstrip(b"\r").decode("utf-8", "replace") for r in bytes(masked).split(b"\n")]
         self.with_code = {k for k, r in enumerate(bytes(masked).split(b"\n")) if r.strip()}
         self.first_code = min(self.with_code, default=None)
+        self.begins = [f.start for f in self.functions]
+        self.outer: list[int] = []  # the function around each function, or -1
+        for k, f in enumerate(self.functions):
+            around = k - 1
+            while around >= 0 and self.functions[around].end <= f.start:
+                around = self.outer[around]
+            self.outer.append(around)
 
     def row(self, at: int) -> int:
         return bisect_right(self.starts, at) - 1
@@ -95,13 +103,11 @@ class _File:
         return self.data[at:end].decode("utf-8", "replace").strip()
 
     def inner(self, at: int) -> Function | None:
-        best = None
-        for f in self.functions:
-            if f.start > at:
-                break
-            if at < f.end:
-                best = f
-        return best
+        """The innermost function around a position."""
+        k = bisect_right(self.begins, at) - 1
+        while k >= 0 and self.functions[k].end <= at:
+            k = self.outer[k]
+        return self.functions[k] if k >= 0 else None
 
 
 def _doc_prefix(text: str, language: Language) -> str:
