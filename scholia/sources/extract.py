@@ -29,7 +29,7 @@ _OPENERS = ("/*!", "/**", "/*", "//!", "///", "//")
 
 COMMENT = "struct<comment_ord:int,kind:string,attachment:string,text:string,content:string,start_line:int,end_line:int,col:int,attached_code:string,in_function:boolean,function_name:string,is_directive:boolean>"
 FUNCTION = "struct<fn_ord:int,name:string,start_line:int,end_line:int,body_line_count:int>"
-PARSED = f"file_ord int, path string, rel string, lang string, code_line_count int, comment_line_count int, code_lines array<string>, comments array<{COMMENT}>, functions array<{FUNCTION}>"
+PARSED = f"file_ord int, path string, rel string, lang string, code_line_count int, comment_line_count int, comments array<{COMMENT}>, functions array<{FUNCTION}>"
 
 
 def _trimmed(rows: list[str]) -> str:
@@ -208,13 +208,15 @@ _ARROW = {
     ),
     "functions": pa.list_(pa.struct([("fn_ord", pa.int32()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("body_line_count", pa.int32())])),
 }
-_SCHEMA = pa.schema(
-    [("file_ord", pa.int32()), ("path", pa.string()), ("rel", pa.string()), ("lang", pa.string()), ("code_line_count", pa.int32()), ("comment_line_count", pa.int32()), ("code_lines", pa.list_(pa.string())), *_ARROW.items()]
-)
+_SCHEMA = pa.schema([("file_ord", pa.int32()), ("path", pa.string()), ("rel", pa.string()), ("lang", pa.string()), ("code_line_count", pa.int32()), ("comment_line_count", pa.int32()), *_ARROW.items()])
 
 
-def parsed(files: DataFrame, mark: str = MARK, batch: int = 64) -> DataFrame:
-    """Files (file_ord, path, rel, content) as rows of ``PARSED``; paths of other languages are left out."""
+def parsed(files: DataFrame, mark: str = MARK, batch: int = 64, code: bool = False) -> DataFrame:
+    """Files (file_ord, path, rel, content) as rows of ``PARSED``; paths of other languages are left out.
+
+    ``code`` adds ``code_lines``: all lines with comments blanked, about as large as the files.
+    """
+    schema = _SCHEMA.append(pa.field("code_lines", pa.list_(pa.string()))) if code else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,12 +226,12 @@ def parsed(files: DataFrame, mark: str = MARK, batch: int = 64) -> DataFrame:
                 if language is not None:
                     rows.append({"file_ord": ord_, "path": path, "rel": rel, "lang": language.name} | extract(decoded(content), language, mark))
                 if len(rows) >= batch:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select(F.col("file_ord").cast("int"), "path", "rel", F.col("content").cast("binary")).mapInArrow(run, PARSED)
+    return files.select(F.col("file_ord").cast("int"), "path", "rel", F.col("content").cast("binary")).mapInArrow(run, PARSED + ", code_lines array<string>" * code)
 
 
 def comments_of(files: DataFrame) -> DataFrame:

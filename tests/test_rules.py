@@ -6,6 +6,7 @@ from scholia.operators import rules as R
 from scholia.plans.gate import check
 from scholia.plans.queries import inline_files
 from scholia.sources.config import Config
+from scholia.sources.extract import parsed
 
 #: path, source, findings at warn or error, hints that must be there.
 CASES = [
@@ -83,6 +84,12 @@ def test_hint_cap_keeps_warnings(spark):
     assert any(r.rule == "UC010" for r in rows)
 
 
+def test_code_lines_on_demand(spark):
+    files = inline_files(spark, {"a.py": "x = 1  # one\n# two\n", "b.txt": "no"})
+    assert "code_lines" not in parsed(files).columns
+    assert [(r.path, r.code_lines) for r in parsed(files, code=True).collect()] == [("a.py", ["x = 1       ", "     ", ""])]
+
+
 def test_no_rules_and_no_rows(spark):
     files = inline_files(spark, {"a.py": "# imports\nimport os\n"})
     assert check(files, Config(disable=["UC", "STE"])).count() == 0
