@@ -23,7 +23,7 @@ def joined(spans):
 def test_queries_hold_for_every_match_and_skip_the_rest():
     assert S.trigram_query("[0-9a-f]{24,}") is True
     assert S.trigram_query("AKIA[A-Z0-9]{16,}") == ("and", ("aki", "kia"))
-    assert S.trigrams(S.trigram_query("gh[pousr]_[A-Za-z0-9]{36,}")) == sorted(f"gh{c}" for c in "pousr") + [] or True
+    assert set(S.trigrams(S.trigram_query("gh[pousr]_[A-Za-z0-9]{36,}"))) == {f"gh{c}" for c in "pousr"} | {f"h{c}_" for c in "pousr"}
     query = S.trigram_query(S.BASE[0].pattern)
     assert query[0] == "or" and {"pas", "tok", "api", "pi_"} <= set(S.trigrams(query))
     assert S.trigram_query("(abcd|x)yz") == ("or", (("and", ("abc", "bcd", "cdy", "dyz")), "xyz"))
