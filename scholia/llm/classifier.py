@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import own_columns
+from scholia.llm.common import own_columns, small_batches
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
@@ -189,6 +189,7 @@ def training_labels(labels: DataFrame, label_col: str, max_rows: int) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    small_batches(docs)
     sample = training_labels(labels, label_col, max_rows)
     # At most max_rows pairs of numbers are broadcast: texts need no shuffle to meet their labels.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
@@ -210,10 +211,12 @@ def score_column(model: Model, text: Column) -> Column:
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
+    small_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), score_column(model, F.col(text_col)).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``; texts stay in the JVM."""
+    small_batches(docs)
     return docs.filter(score_column(model, docs[f"`{text_col}`"]) >= threshold).select(*own_columns(docs))

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.common import small_batches
+
 #: Bytes of words in lower case, everything else a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -40,7 +42,7 @@ WINDOW = 10
 #: Words of the benchmark that one pass holds.
 BLOCK_WORDS = 2_000_000
 #: Words of a shard whose suffixes are sorted together.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: A hit span and the items of one document so far, as the passes hand them on.
 STATE = "struct<n_words:bigint,starts:array<int>,ends:array<int>,items:array<string>,longest:int,longest_at:int,longest_item:string>"
 
@@ -221,6 +223,7 @@ def _passes(shared):
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", state: str = "__hits", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with a ``STATE`` column of hit spans, items and the longest match."""
+    small_batches(docs)
     context = docs.sparkSession.sparkContext
     for n, block in enumerate(blocks(benchmark, block_words=block_words)):
         # Rows of one id are items of their own here and meet in the set of ids.

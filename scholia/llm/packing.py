@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import tokenizer_file
+from scholia.llm.common import small_batches, tokenizer_file
 
 LENGTH = 2048
 PAD = 50256
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, folder: str | No
         if block:
             yield _block(block, length, pad, f"{part}-{number}")
 
+    small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 

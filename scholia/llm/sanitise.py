@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialise
+from scholia.llm.common import materialise, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "removed", "generalised")
@@ -200,6 +200,7 @@ def _document_counts(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> Data
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Materialised rows (row, doc_id, spans, mentions[, text])."""
+    small_batches(docs)
     text = [F.col(text_col).alias("text")] if keep_text else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(_found, _FOUND)(F.col(text_col)).alias("f"), *text)
     return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "f.spans", "f.mentions", *(["text"] if keep_text else [])))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import LOWER, fresh, materialise, shuffle_partitions
+from scholia.llm.common import LOWER, fresh, materialise, shuffle_partitions, small_batches
 
 SHINGLE = 3
 BITS = 3
@@ -264,6 +264,7 @@ def _placed(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id for each row of ``docs``."""
+    small_batches(docs)
     prints = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
     placed = _placed(prints)
     ids = placed.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -278,6 +279,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows alike in both, one stays. The fingerprint is computed again where the
     rows are chosen, which is cheaper than keeping it beside every text.
     """
+    small_batches(docs)
     prints = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
     best = F.min(F.struct("z", "id", "fp", "n")).alias("s")
     keep = materialise(_placed(prints).groupBy("root").agg(best).select(F.col("s.id").alias("__id"), F.col("s.fp").alias("__kept"), F.col("s.n").alias("__n")))

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.llm.common import small_batches
+
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-records")
 
@@ -132,6 +134,7 @@ def build(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             if rows:
                 yield batch(rows)
 
+    small_batches(pages)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, SCHEMA)
 
 
