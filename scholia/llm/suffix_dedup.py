@@ -9,16 +9,17 @@ or more, in one document or in several. Only some suffixes are kept:
    (the left-most on ties). The choice depends on content alone, so equal
    stretches keep equal suffixes: no repeat is missed, and about 2 suffixes in
    27 are kept.
-2. Each task sorts the keys of its batch and collapses equal neighbours to
-   (key, count); a grouped sum merges those arrays. Keys that occur once can
-   start no repeat.
-3. A second pass gives the suffixes whose key repeats, each with the stretches
-   that chose it: these are its possible extensions, by 0 to ``LENGTH - PREFIX``
-   words to the left and the rest to the right. Suffixes with one key and equal
-   extensions form a class with a count, so a passage of any number of copies is
-   one row from there on. Where a key has several classes their extensions are
-   compared; those that occur twice or more are repeats.
-4. Repeated stretches of a document are merged to maximal spans.
+2. The stretches that chose a suffix are its possible extensions, by 0 to
+   ``LENGTH - PREFIX`` words to the left and the rest to the right. Suffixes with
+   one key and equal extensions are one class.
+3. Each task sorts the keys of its batch and collapses equal neighbours to the
+   key, its count and its least and greatest class; grouped sums merge those
+   arrays. Keys that occur once can start no repeat.
+4. A second pass gives the suffixes whose key repeats. If a key has one class,
+   all its extensions repeat, and nothing is compared. Where a key has several
+   classes, these are counted first, so a passage of any number of copies is one
+   row from there on, and extensions that occur twice or more are repeats.
+5. Repeated stretches of a document are merged to maximal spans.
 
 Grouped counts combine before their shuffle and all joins are equi-joins, which
 Spark can split at a hot key; no group is gathered. The second pass leaves out
@@ -43,16 +44,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import fresh, materialise, own_columns
+from scholia.llm.common import fresh, materialise, own_columns, small_batches
 
 LENGTH = 50
 PREFIX = 25
 #: Bits of the Bloom bitmap that spares the shuffle suffixes without a partner.
 BLOOM_BITS = 1 << 26
 #: Words whose hashes a task remembers.
-HELD_WORDS = 500_000
+HELD_WORDS = 100_000
 #: Words of documents whose suffixes leave a task together.
-OUT_WORDS = 1_000_000
+OUT_WORDS = 400_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -87,8 +88,8 @@ class Suffixes:
                 self.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _INVERSE, dtype=np.uint64)])
         return self.up[:n], self.down[:n]
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(keys, first stretches, hashes of all stretches): suffix k is that of the stretches from its first one up to the next suffix's."""
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(keys, classes, first stretches, hashes of all stretches): suffix k is that of the stretches from its first one up to the next suffix's."""
         n, length, prefix = len(words), self.length, self.prefix
         if n < length:
             return None
@@ -108,7 +109,11 @@ class Suffixes:
             least = np.where(right, least[step:], least[: len(least) - step])
             reach += step
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        return grams[place[first]].view(np.int64), first, stretches.view(np.int64)
+        keys = grams[place[first]]
+        with np.errstate(over="ignore"):
+            sizes = np.diff(np.r_[first, len(stretches)]).astype(np.uint64)
+            classes = _mixed(np.add.reduceat(_mixed(stretches), first) + sizes * _MULTIPLIER) ^ keys
+        return keys.view(np.int64), classes.view(np.int64), first, stretches.view(np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -119,22 +124,25 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def key_counts(docs: DataFrame, text_col: str = "text", length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
-    """(key, n): the sorted keys of every batch, equal neighbours collapsed."""
+    """(key, n, low, high): the sorted keys of every batch, equal neighbours collapsed; low and high are the least and greatest class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, found = Suffixes(length, prefix), 0, []
 
         def collapsed() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(found))
-            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(np.diff(np.r_[cut, len(keys)]))], names=["key", "n"])
+            keys, classes = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            order = np.lexsort((classes, keys))
+            keys, classes = keys[order], classes[order]
+            cut = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+            columns = keys[cut[:-1]], np.diff(cut), classes[cut[:-1]], classes[cut[1:] - 1]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "low", "high"])
 
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 got = own.of(words)
                 if got:
-                    found.append(got[0])
+                    found.append(got[:2])
                     held += len(words)
                 if held >= OUT_WORDS:
                     yield collapsed()
@@ -143,7 +151,7 @@ def key_counts(docs: DataFrame, text_col: str = "text", length: int = LENGTH, pr
             yield collapsed()
 
     texts = docs.select(F.encode(F.col(text_col), "UTF-8").alias("t"))
-    return texts.mapInArrow(run, "key bigint, n bigint")
+    return texts.mapInArrow(run, "key bigint, n bigint, low bigint, high bigint")
 
 
 def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +176,11 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-_SUFFIX = "r bigint, doc_id bigint, n_words int, o bigint, key bigint, start int, w array<bigint>"
+_SUFFIX = "r bigint, doc_id bigint, n_words int, o bigint, key bigint, c bigint, start int, w array<bigint>"
 
 
 def suffixes(docs: DataFrame, likely: np.ndarray, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
-    """Suffixes whose key the bitmap passes: row, document, occurrence, key, first stretch, hashes of its stretches."""
+    """Suffixes whose key the bitmap passes: row, document, occurrence, key, class, first stretch, hashes of its stretches."""
     shared = docs.sparkSession.sparkContext.broadcast(likely)  # BLOOM_BITS / 8 bytes at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +192,13 @@ def suffixes(docs: DataFrame, likely: np.ndarray, id_col: str = "doc_id", text_c
         held = 0
 
         def batch() -> pa.RecordBatch:
-            ids = pa.array([x[1] for x in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), [len(x[4]) for x in out])))
-            column = lambda i: np.repeat([x[i] for x in out], [len(x[4]) for x in out])
-            sizes = np.concatenate([x[6] for x in out])
-            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate([x[7] for x in out]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(column(0)), ids, pa.array(column(2).astype(np.int32)), pa.array(np.concatenate([x[3] for x in out])), pa.array(np.concatenate([x[4] for x in out])), pa.array(np.concatenate([x[5] for x in out]).astype(np.int32)), lists],
-                names=["r", "doc_id", "n_words", "o", "key", "start", "w"],
-            )
+            each = np.repeat(np.arange(len(out)), [len(x[3]) for x in out])  # the document of each suffix
+            of = lambda k: pa.array(np.array([x[k] for x in out])[each])
+            ids = pa.array([x[1] for x in out], pa.int64()).take(pa.array(each))
+            o, keys, classes, start, sizes, stretches = (np.concatenate([x[k] for x in out]) for k in range(3, 9))
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), stretches)
+            columns = [of(0), ids, of(2).cast(pa.int32()), pa.array(o), pa.array(keys), pa.array(classes), pa.array(start.astype(np.int32)), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["r", "doc_id", "n_words", "o", "key", "c", "start", "w"])
 
         for b in batches:
             for r, doc_id, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
@@ -199,14 +206,14 @@ def suffixes(docs: DataFrame, likely: np.ndarray, id_col: str = "doc_id", text_c
                 got = own.of(words)
                 if not got:
                     continue
-                keys, first, stretches = got
+                keys, classes, first, stretches = got
                 one, two = _bits(keys)
                 held_both = ((bits[one >> 6] >> (one & 63).astype(np.uint64)) & (bits[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                 keep = np.flatnonzero(held_both)
                 if len(keep):
                     sizes = np.diff(np.r_[first, len(stretches)])
                     mask = np.repeat(held_both, sizes)
-                    out.append((r.as_py(), doc_id.as_py(), len(words), number + keep, keys[keep], first[keep], sizes[keep], stretches[mask]))
+                    out.append((r.as_py(), doc_id.as_py(), len(words), number + keep, keys[keep], classes[keep], first[keep], sizes[keep], stretches[mask]))
                     held += len(words)
                 number += len(keys)
                 if held >= OUT_WORDS:
@@ -224,21 +231,18 @@ def suffixes(docs: DataFrame, likely: np.ndarray, id_col: str = "doc_id", text_c
 
 
 def _classes(found: DataFrame) -> DataFrame:
-    """(c, live, own, o, first_doc_id): for each class the stretches that repeat, and those whose first place is the class's own first, as bits."""
-    classes = materialise(found.groupBy("c", "key", "w").agg(F.count("*").alias("n"), F.min("o").alias("o"), F.min("doc_id").alias("least")))
-    per_key = classes.groupBy("key").agg(F.count("*").alias("classes"))
-    told = classes.join(per_key, "key")
+    """(c, live, own, first, first_doc_id): for each class the stretches that repeat, and those whose first place is the class's own, as bits."""
     one = F.lit(1).cast("long")
-    whole = F.call_function("shiftleft", one, F.size("w")) - 1
-    alone = told.filter("classes = 1 and n > 1").select("c", whole.alias("live"), whole.alias("own"), "o", F.col("least").alias("first_doc_id"))
-    several = told.filter("classes > 1").select("c", "key", "n", "o", "least", F.posexplode("w").alias("d", "h"))
-    several = materialise(several)
+    whole = F.call_function("shiftleft", one, F.max("k")) - 1
+    alone = found.filter("not contested").groupBy("c").agg(whole.alias("live"), whole.alias("own"), F.min("o").alias("first"), F.min("doc_id").alias("first_doc_id"))
+    classes = found.filter("contested").groupBy("c", "key", "w").agg(F.count("*").alias("n"), F.min("o").alias("o"), F.min("doc_id").alias("least"))
+    several = materialise(classes.select("c", "key", "n", "o", "least", F.posexplode("w").alias("d", "h")))
     counted = several.groupBy("key", "h").agg(F.sum("n").alias("total"), F.min("o").alias("first"), F.min("least").alias("first_doc_id")).filter("total > 1")
     bit = F.call_function("shiftleft", one, F.col("d"))
     met = several.join(counted, ["key", "h"]).groupBy("c").agg(
         F.bit_or(bit).alias("live"),
         F.bit_or(F.when(F.col("first") == F.col("o"), bit).otherwise(F.lit(0).cast("long"))).alias("own"),
-        F.min("o").alias("o"),
+        F.min("o").alias("first"),
         F.min("first_doc_id").alias("first_doc_id"),
     )
     return alone.unionByName(met)
@@ -284,10 +288,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """
     if not 0 < prefix <= length <= prefix + 62:
         raise ValueError("a prefix is at least 1 and at most 62 words shorter than a passage")
-    live = materialise(key_counts(docs, text_col, length, prefix).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"))
-    likely = suffixes(docs, bitmap(live), id_col, text_col, length, prefix)
-    found = materialise(likely.join(live, "key", "left_semi").withColumn("c", F.xxhash64("key", "w")))
-    marked = found.select("r", "doc_id", "n_words", "start", "o", "c").join(_classes(found).withColumnRenamed("o", "first"), "c")
+    small_batches(docs)
+    counts = key_counts(docs, text_col, length, prefix).groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    live = materialise(counts.filter("n > 1").select("key", (F.col("low") != F.col("high")).alias("contested")))
+    likely = suffixes(docs, bitmap(live.select("key")), id_col, text_col, length, prefix)
+    # Only contested suffixes keep the hashes of their stretches.
+    found = likely.join(live, "key").select("r", "doc_id", "n_words", "start", "o", "key", "c", "contested", F.size("w").alias("k"), F.when(F.col("contested"), F.col("w")).alias("w"))
+    found = materialise(found)
+    marked = found.select("r", "doc_id", "n_words", "start", "o", "c").join(_classes(found), "c")
     more = F.when(F.col("o") == F.col("first"), F.col("live").bitwiseAND(F.bitwise_not("own"))).otherwise(F.col("live"))
     parts = marked.select("r", "doc_id", "n_words", "first_doc_id", F.struct("start", "live", more.alias("more")).alias("part"))
     rows = parts.groupBy("r").agg(
