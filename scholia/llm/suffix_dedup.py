@@ -295,7 +295,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     # Only contested suffixes keep the hashes of their stretches.
     found = likely.join(live, "key").select("r", "doc_id", "n_words", "start", "o", "key", "c", "contested", F.size("w").alias("k"), F.when(F.col("contested"), F.col("w")).alias("w"))
     found = materialise(found)
-    marked = found.select("r", "doc_id", "n_words", "start", "o", "c").join(_classes(found), "c")
+    # Read from a table of its own, so that both sides of the join are dealt alike and Spark can split a hot class.
+    classes = materialise(_classes(found))
+    marked = found.select("r", "doc_id", "n_words", "start", "o", "c").join(classes, "c")
     more = F.when(F.col("o") == F.col("first"), F.col("live").bitwiseAND(F.bitwise_not("own"))).otherwise(F.col("live"))
     parts = marked.select("r", "doc_id", "n_words", "first_doc_id", F.struct("start", "live", more.alias("more")).alias("part"))
     rows = parts.groupBy("r").agg(
