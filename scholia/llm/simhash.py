@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import LOWER, fresh, materialise, shuffle_partitions, small_batches
@@ -39,6 +39,14 @@ BITS = 3
 SEED = 42
 #: Most members of a trie group before its fingerprints are dealt by more bits.
 GROUP = 512
+#: The corpus stage: words of a shingle, and tenths of Jaccard similarity that make a near-duplicate.
+WORDS = 5
+TENTHS = 8
+#: Rows in which frequent shingles are counted, and how many of these are kept.
+SAMPLE = 20_000
+FREQUENT = 100_000
+#: Bits of the bitmap of ids whose texts are read again.
+MAYBE = 1 << 22
 
 _JOINED = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in LOWER)
 
@@ -272,19 +280,185 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the columns of ``docs``: that of the least id.
+# --- Near-duplicates by the similarity of their word sets --------------------
 
-    Ids may repeat or be null: a row is told by its id and fingerprint, and of
-    rows alike in both, one stays. The fingerprint is computed again where the
-    rows are chosen, which is cheaper than keeping it beside every text.
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``width`` words; a shorter text is one run."""
+    words = (text or b"").translate(_JOINED).split(b" ")
+    words = [w for w in words if w] if b"" in words else words
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.r_[0, ends[:-width]].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
+
+
+def _node(own: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+
+
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each place of a hash modulo the size: whether an odd number of the set is there."""
+    m = max(64, 1 << max(len(own) - 1, 0).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Two sets differ in this many members at least: bits that differ, the longer bitmap folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _held(ids: DataFrame, column: Column) -> Column:
+    """Whether an id may be one of ``ids``: a bitmap of MAYBE bits, without false negatives."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAYBE))
+    at = ids.select(place(F.col("__id")).alias("p"))
+    got = at.groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w")).toArrow()
+    words = np.zeros(MAYBE // 64, dtype=np.int64)
+    words[got.column("k").to_numpy()] = got.column("w").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))  # 512 KB at every size
+
+    def run(places: pa.Array) -> pa.Array:
+        p = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return F.arrow_udf(run, "boolean")(place(column))
+
+
+def _rare_first(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of shingles that are frequent in a sample, by hash.
+
+    Only an order of shingles is taken from it, so what the sample misses costs
+    time and no result.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t, width).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], type=pa.list_(pa.int64()))
+
+    part = docs.select(F.col(text_col).alias("t")).sample(min(1.0, SAMPLE / max(docs.count(), 1)), seed=SEED)
+    each = part.select(F.explode(F.arrow_udf(run, "array<bigint>")("t")).alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
+    """(doc_id, node, fp, size, bits, keys): a row's set, its fingerprint and parities, and the rarest shingles, one of which any set as similar must hold among its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(_rare_first(docs, text_col, width))  # at most FREQUENT numbers
+
+    def run(texts: pa.Array) -> pa.Array:
+        hot, count = shared.value
+        nodes, fps, sizes, bits, keys = [], [], [], [], []
+        for t in texts.cast(pa.binary()).to_pylist():
+            own = shingles(t, width)
+            most = len(own) - -(-tenths * len(own) // 10) + 1 if len(own) else 0
+            weight = np.zeros(len(own), dtype=np.int64)
+            if len(hot) and len(own):
+                k = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+                weight = np.where(hot[k] == own, count[k], 0)
+            nodes.append(_node(own))
+            fps.append(_signed(fingerprint(t, width)))
+            sizes.append(len(own))
+            bits.append(parity(own))
+            keys.append(own[np.lexsort((own, weight))[:most]].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "size", "bits", "keys"])
+
+    kind = "struct<node:bigint,fp:bigint,size:bigint,bits:binary,keys:array<bigint>>"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(run, kind)(F.col(text_col)).alias("s"))
+    return rows.select("doc_id", "s.*")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of ``tenths`` / 10 or more."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [shingles(t, width) for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own"])
+
+    def near(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
+        # J >= k / 10 means that the sets differ in (10 - k) / (10 + k) of their members at most.
+        rows = zip(a.to_pylist(), b.to_pylist(), total.to_pylist(), strict=True)
+        return pa.array([(10 + tenths) * _apart(x, y) <= (10 - tenths) * n for x, y, n in rows], type=pa.bool_())
+
+    left, right = (nodes.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("size").alias(f"s{c}")) for c in "uv")
+    pairs = pairs.distinct().join(left, "u").join(right, "v")
+    pairs = materialise(pairs.filter(F.arrow_udf(near, "boolean")("bu", "bv", F.col("su") + F.col("sv"))).select("u", "v"))
+    some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    # Only rows that a pair needs are hashed again.
+    ids = materialise(nodes.join(some, "node").select(F.col("id").alias("__id")).distinct())
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(_held(ids, F.col(id_col)))
+    held = rows.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select(F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>")("__text").alias("s"))
+    sets = materialise(held.select("s.*").join(some, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return materialise(both.filter(10 * common >= tenths * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+
+def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
+    """(node, root) of nodes that a chain of similar sets joins.
+
+    The first candidates are spanning: links of the fingerprints' trie join, and
+    each key's nodes with its least. Then all pairs that share a key and are in
+    different components yet are compared, so no similar pair is left out.
+    """
+    alike = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)
+    each = Window.partitionBy("key")
+    shared = keys.withColumns({"least": F.min(F.struct("node", "size")).over(each), "greatest": F.max("node").over(each)}).filter("greatest > least.node")
+    shared = materialise(shared.select("key", "node", "size", F.col("least.node").alias("least"), F.col("least.size").alias("least_size")))
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("v")))
+    near = links(firsts.select("fp"))
+    by_print = near.join(firsts.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    same_print = nodes.join(firsts, "fp").filter("node > v").select(F.col("node").alias("u"), "v")
+    by_key = shared.filter(F.col("node") > F.col("least")).filter(alike(F.col("size"), F.col("least_size"))).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    edges = _verified(by_print.union(same_print).union(by_key), nodes, docs, id_col, text_col, width, tenths)
+    rooted = shared.select("key", "node", "size").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted)
+    # A key whose nodes are all in one component has nothing left to compare.
+    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    left = rooted.join(several, "key", "left_semi")
+    a, b = left.alias("a"), left.alias("b")
+    test = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.size"), F.col("b.size"))
+    rest = _verified(a.join(b, test).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
+    return components(edges.union(rest))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, tenths: int = TENTHS) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``docs``: that of the least id.
+
+    Near are texts whose sets of ``width``-word shingles have a Jaccard
+    similarity of ``tenths`` / 10 or more; every link is verified. Texts without
+    words have one set, the empty one.
+
+    Ids may repeat or be null: a row is told by its id and set, and of rows alike
+    in both, one stays. The set is computed again where the rows are chosen,
+    which is cheaper than keeping it beside every text.
     """
     small_batches(docs)
-    prints = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
-    best = F.min(F.struct("z", "id", "fp", "n")).alias("s")
-    keep = materialise(_placed(prints).groupBy("root").agg(best).select(F.col("s.id").alias("__id"), F.col("s.fp").alias("__kept"), F.col("s.n").alias("__n")))
+    prints = _prefixes(docs, id_col, text_col, width, tenths)
+    counts = prints.groupBy("node", "doc_id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), "n")).alias("s")
+    whole = materialise(counts.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    nodes = whole.select("node", "s.*", "fp", "size", "bits")
+    roots = _similar(nodes, whole.select("node", "size", F.explode("keys").alias("key")), docs, id_col, text_col, width, tenths)
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = F.min(F.struct("z", "id", "node", "n")).alias("s")
+    keep = materialise(placed.groupBy("root").agg(best).select(F.col("s.id").alias("__id"), F.col("s.node").alias("__kept"), F.col("s.n").alias("__n")))
     name = fresh("__print", docs)
-    marked = docs.withColumn(name, fingerprint_column(F.col(text_col)))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_node(shingles(t, width)) for t in texts.cast(pa.binary()).to_pylist()], type=pa.int64())
+
+    marked = docs.withColumn(name, F.arrow_udf(run, "bigint")(F.col(text_col)))
     same = marked[id_col].eqNullSafe(keep["__id"]) & (marked[name] == keep["__kept"])
     kept = marked.join(keep, same)
     columns = [marked[f"`{c}`"] for c in docs.columns]

@@ -100,3 +100,42 @@ def test_rows_nulls_copies_and_clashing_columns(spark, docs):
     same = docs(["x y z"] * 3 + [None] * 2, ids=[1, 1, 1, None, None])
     assert simhash.deduplicated(same).count() == 2
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_dedup_finds_every_pair_of_similar_sets(spark, docs):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(60)], []
+    for size in (7, 30, 60, 120, 240):
+        base = [word() for _ in range(size)]
+        for edits in (0, 0, 1, 2, 3, 4, 5):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(size)] = word()
+            texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(word() for _ in range(40))]) for _ in range(30)]  # one passage, not similar
+    texts += [None, "", "a b", "A  b", "a b c", "a b c d e", "a b c d e f"]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    label, far = list(range(len(texts))), 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                far += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert far > 5  # pairs that three bits of a fingerprint miss
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(texts)).collect()) == sorted({label.index(x) for x in label})
+
+
+def test_parities_never_tell_sets_further_apart_than_they_are():
+    rng = random.Random(5)
+    for n, m in ((1, 1), (5, 70), (64, 65), (300, 320), (0, 3)):
+        both = [rng.getrandbits(64) for _ in range(n)]
+        a, b = ([*both, *(rng.getrandbits(64) for _ in range(m - n))] for _ in range(2))
+        pa, pb = (simhash.parity(np.unique(np.array(x, dtype=np.uint64))) for x in (a, b[: n + (m - n) // 2]))
+        assert simhash._apart(pa, pb) <= len(set(a) ^ set(b[: n + (m - n) // 2]))
+        assert simhash._apart(pa, pa) == 0
