@@ -36,7 +36,13 @@ from scholia.llm.common import small_batches
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-records")
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: The tags of elements whose content is not text.
+_HIDING = re.compile(r"<(/?)(noscript|template|svg)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(/?)>", re.I)
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.I)
+#: What ends a head: its end tag, or any tag that a head does not hold.
+_HEAD_END = re.compile(r"</head\s*>|<(?!/|!|\?|(?:title|meta|link|base|basefont|bgsound|noframes|script|style|noscript|template|head)(?=[\s/>]))(?=[a-z])|</(?:body|html)\b", re.I)
+_TITLE_TEXT = re.compile(r"<title\b[^>]*>.*?(?:</title\s*>|\Z)", re.I | re.S)
 _BREAK = re.compile(r"<(?:/?(?:p|div|article|section|header|footer|nav|main|aside|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|figure|dl|dt|dd)|br|hr)\b[^>]*>", re.I)
 _CELL = re.compile(r"</t[dh]\s*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
@@ -46,9 +52,41 @@ _CHARSET = re.compile(r"<meta\b[^>]*\bcharset=[\"']?([A-Za-z0-9_-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*\bhref=(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _without_hidden(page: str) -> str:
+    """``page`` without elements whose content is not text; one that has no end tag hides nothing after its own tag."""
+    ends: dict[str, list[int]] = {}
+    tags = list(_HIDING.finditer(page))
+    # From the last tag backwards: how many end tags of a name are still free.
+    closes: dict[int, int] = {}
+    for m in reversed(tags):
+        free = ends.setdefault(m[2].lower(), [])
+        if m[1]:
+            free.append(m.end())
+        elif free and not (m[3] and m[2].lower() == "svg"):
+            closes[m.start()] = free.pop()
+    out, at = [], 0
+    for m in tags:
+        if m.start() >= at:
+            out += [page[at : m.start()], " "]
+            at = closes.get(m.start(), m.end())
+    return "".join([*out, page[at:]])
+
+
+def _without_head(page: str) -> str:
+    """``page`` without its head, whose end tag may be left out."""
+    m = _HEAD.search(page)
+    if not m:
+        return page
+    body = _TITLE_TEXT.sub(lambda t: " " * len(t[0]), page[m.end() :])
+    end = _HEAD_END.search(body)
+    if not end:
+        return page[: m.start()] + " " + body
+    return page[: m.start()] + " " + page[m.end() + (end.end() if end[0].lower().startswith("</head") else end.start()) :]
+
+
 def plain_text(page: str) -> str:
     """Visible text: a line for each block, spaces collapsed, entities resolved."""
-    page = _DROP.sub(" ", page)
+    page = _without_head(_without_hidden(_DROP.sub(" ", page)))
     page = _CELL.sub(" \t", _BREAK.sub("\n", page))
     page = entities.unescape(_TAG.sub("", page))
     lines = (" ".join(x.split()) for x in page.split("\n"))

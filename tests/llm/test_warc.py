@@ -66,3 +66,12 @@ def test_files_round_trip(spark, tmp_path):
     for r in records:
         back = got[r["record_id"]]
         assert bytes(back.block) == r["block"] and back.refers_to == r["refers_to"] and [(h.name, h.value) for h in back.headers] == r["headers"]
+
+
+def test_pages_without_optional_end_tags_keep_their_text():
+    assert warc.plain_text("<html><head><title>t</title><body><p>Hello world</p><p>more</p></html>") == "Hello world\nmore"
+    assert warc.plain_text("<head><meta charset=x><title>t</title><p>Hello <b>you</b>") == "Hello you"
+    assert warc.plain_text("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p><svg><text>x</text><svg/></svg><p>c") == "a\nb\nc"
+    assert warc.plain_text("<p>a</p><noscript><p>b</p><template>") == "a\nb"
+    assert warc.plain_text("<p>a<template>x<template>y</template>z</template>b</p><head>") == "a b"
+    assert warc.plain_text("<p>a<script>b</p>") == "a"
