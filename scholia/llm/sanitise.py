@@ -1,17 +1,18 @@
 """Personal data and the terms that reveal it.
 
 Base kinds are found by patterns: email, ip, card, phone. Each found value is a
-protected entity. Words near a mention are candidate terms, and how strongly a
-term reveals an entity is estimated from the whole corpus by documents:
+protected entity. All words of a document that holds it are candidate terms, and
+how strongly a term reveals an entity is estimated from the whole corpus by documents:
 
     PMI(e; t) = log(N * n_et / (n_e * n_t)),   IC(e) = log(N / n_e)
 
 PMI never exceeds IC, which it reaches if the term occurs with the entity alone:
 then the term discloses all of it. A term at ``REMOVE`` of IC or more is removed,
-one at ``GENERALISE`` or more is generalised. Pairs that fewer than ``SUPPORT``
-documents hold are no evidence.
+one at ``GENERALISE`` or more is generalised, at all its places in documents that
+hold the entity. ``SUPPORT`` is the least number of documents that hold a pair:
+with 1, entities of a single document are handled too.
 
-Three passes: an Arrow pass finds entities and nearby terms (kept in a small
+Three passes: an Arrow pass finds entities and the words beside them (kept in a small
 table; rows without entities are a few bytes); pairs are counted by grouped
 sums; a second Arrow pass counts in how many documents each supported term
 occurs. That pass is told the supported terms by a Bloom bitmap of fixed size.
@@ -42,9 +43,8 @@ from scholia.llm.common import materialise, small_batches
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "removed", "generalised")
 
-#: Words on each side of a mention that are candidate terms.
-NEAR = 8
-SUPPORT = 2
+#: Documents that must hold a pair; 1 leaves none out.
+SUPPORT = 1
 REMOVE = 0.97
 GENERALISE = 0.8
 #: Bits of the Bloom bitmap (2 MB) and its hashes.
@@ -102,8 +102,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each span and outside all."""
+def entity(text: str, span: tuple[int, int, int]) -> str:
+    return f"{KINDS[span[0]]}:{text[span[1] : span[2]].lower()}"
+
+
+def words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words outside all spans."""
     merged: list[list[int]] = []
     for a, b in sorted((a, b) for _, a, b in spans):
         if merged and a < merged[-1][1]:
@@ -116,30 +120,28 @@ def mentions(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) ->
         k = bisect_left(begins, b)
         return k == 0 or merged[k - 1][1] <= a
 
-    words = [m.span() for m in _TERM.finditer(text)]
-    words = [w for w in words if free(*w)]
-    starts = [a for a, _ in words]
-    out: dict[tuple[str, str, int, int], None] = {}
-    for kind, a, b in spans:
-        entity = f"{KINDS[kind]}:{text[a:b].lower()}"
-        k = bisect_left(starts, a)
-        for x, y in words[max(k - near, 0) : k + near]:
-            out[entity, text[x:y].lower(), x, y] = None
-    return list(out)
+    return [(m[0].lower(), *m.span()) for m in _TERM.finditer(text) if free(*m.span())]
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of each entity with every word outside all spans."""
+    own = words(text, spans)
+    return [(e, *w) for e in dict.fromkeys(entity(text, s) for s in spans) for w in own]
 
 
-_MENTION = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_WORD = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_FOUND = "struct<spans:array<struct<kind:int,start:int,end:int>>,mentions:array<struct<entity:string,term:string,start:int,end:int>>>"
+_FOUND = "struct<spans:array<struct<kind:int,start:int,end:int>>,entities:array<string>,words:array<struct<term:string,start:int,end:int>>>"
 
 
 def _found(texts: pa.Array) -> pa.Array:
-    spans, near = [], []
+    spans, entities, near = [], [], []
     for t in texts.to_pylist():
         own = base_spans(t or "")
         spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-        near.append([{"entity": e, "term": w, "start": a, "end": b} for e, w, a, b in mentions(t, own)] if own else [])
-    return pa.StructArray.from_arrays([pa.array(spans, type=pa.list_(_SPAN)), pa.array(near, type=pa.list_(_MENTION))], names=["spans", "mentions"])
+        entities.append(list(dict.fromkeys(entity(t, s) for s in own)))
+        near.append([{"term": w, "start": a, "end": b} for w, a, b in words(t, own)] if own else [])
+    return pa.StructArray.from_arrays([pa.array(spans, type=pa.list_(_SPAN)), pa.array(entities, type=pa.list_(pa.string())), pa.array(near, type=pa.list_(_WORD))], names=["spans", "entities", "words"])
 
 
 def _positions(h: np.ndarray) -> np.ndarray:
@@ -199,18 +201,19 @@ def _document_counts(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> Data
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Materialised rows (row, doc_id, spans, mentions[, text])."""
+    """Materialised rows (row, doc_id, spans, entities, words[, text])."""
     small_batches(docs)
     text = [F.col(text_col).alias("text")] if keep_text else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(_found, _FOUND)(F.col(text_col)).alias("f"), *text)
-    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "f.spans", "f.mentions", *(["text"] if keep_text else [])))
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "f.spans", "f.entities", "f.words", *(["text"] if keep_text else [])))
 
 
 def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """(entity, term, n_et, n_e, n_t, disclosed): the share of an entity's information that a term gives."""
-    each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", "m.term").distinct()
-    pairs = materialise(each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support))
-    held = each.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
+    some = rows.filter(F.size("words") > 0).select(F.explode("entities").alias("entity"), terms.alias("terms"))
+    pairs = some.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    held = some.groupBy("entity").agg(F.count("*").alias("n_e"))
     n = rows.count()
     hashed = F.xxhash64("term").alias("h")
     counts = _document_counts(docs, text_col, _bitmap(pairs.select("term").distinct()))
@@ -225,8 +228,8 @@ def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support
 def _with_terms(rows: DataFrame, docs: DataFrame, text_col: str, remove: float, generalise: float) -> DataFrame:
     told = disclosure(rows, docs, text_col).filter(F.col("disclosed") >= generalise)
     told = materialise(told.select("entity", "term", F.when(F.col("disclosed") >= remove, F.lit(4)).otherwise(F.lit(5)).alias("kind")))
-    each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    # A word near two entities takes the stronger of its two treatments.
+    each = rows.select("row", F.explode("entities").alias("entity"), "words").select("row", "entity", F.inline("words"))
+    # A word beside two entities takes the stronger of its two treatments.
     marked = each.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     own = marked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("terms"))
     return rows.join(own, "row", "left").withColumn("all_spans", F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<kind:int,start:int,end:int>>")))))

@@ -106,3 +106,11 @@ def test_sanitised_text(spark, docs):
 def test_odd_tables(docs):
     assert S.report(docs(["a"]).limit(0)).count() == 0
     assert [r.spans for r in S.report(docs(["a@b.c"] * 2, ids=[1, 1])).collect()] == ["email:0:5"] * 2
+
+
+def test_far_terms_and_entities_of_one_document(docs):
+    far = " ".join(["river stone"] * 20)
+    data = [f"Qwertz {far} ann@ex.org", f"ann@ex.org {far} qwertz", f"{far} Asdfg {far} asdfg bob@ex.org", *[far] * 30]
+    out = {r.doc_id: r.text for r in S.sanitised(docs(data)).collect()}
+    assert "wertz" not in out[0] + out[1] and "sdfg" not in out[2]
+    assert out[2].count("river") == 40 and out[5] == far
