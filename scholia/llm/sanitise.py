@@ -200,6 +200,17 @@ def _document_counts(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> Data
     return rows.groupBy("h").agg(F.sum("n").alias("n_t"))
 
 
+def _held(bitmap: np.ndarray, docs: DataFrame):
+    """Whether the column ``term`` may be in the bitmap; the join that follows is exact."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(terms: pa.Array) -> pa.Array:
+        at = _positions(np.array([term_hash(t) for t in terms.to_pylist()], dtype=np.uint64))
+        return pa.array(((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1))
+
+    return F.arrow_udf(run, "boolean")("term")
+
+
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Materialised rows (row, doc_id, spans, entities, words[, text])."""
     small_batches(docs)
@@ -208,16 +219,20 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "f.spans", "f.entities", "f.words", *(["text"] if keep_text else [])))
 
 
-def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """(entity, term, n_et, n_e, n_t, disclosed): the share of an entity's information that a term gives."""
+def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float | None = None) -> DataFrame:
+    """(entity, term, n_et, n_e, n_t, disclosed): the share of an entity's information that a term gives, without most pairs under ``least``."""
     terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
     some = rows.filter(F.size("words") > 0).select(F.explode("entities").alias("entity"), terms.alias("terms"))
     pairs = some.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     held = some.groupBy("entity").agg(F.count("*").alias("n_e"))
     n = rows.count()
     hashed = F.xxhash64("term").alias("h")
-    counts = _document_counts(docs, text_col, _bitmap(pairs.select("term").distinct()))
-    joined = pairs.select("*", hashed).join(counts, "h").join(held, "entity")
+    counts = _document_counts(docs, text_col, _bitmap(some.select(F.explode("terms").alias("term"))))
+    joined = pairs.select("*", hashed).join(counts, "h")
+    if least is not None and n:
+        # As n_e is n_et or more, PMI at this share of IC or more bounds n_t.
+        joined = joined.filter(F.col("n_t") <= (1 + 1e-9) * float(n) ** (1 - least) * F.pow("n_et", F.lit(least)))
+    joined = joined.join(held, "entity")
     pmi = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     # An entity that every document holds has no information to disclose.
@@ -226,9 +241,9 @@ def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support
 
 
 def _with_terms(rows: DataFrame, docs: DataFrame, text_col: str, remove: float, generalise: float) -> DataFrame:
-    told = disclosure(rows, docs, text_col).filter(F.col("disclosed") >= generalise)
+    told = disclosure(rows, docs, text_col, least=generalise).filter(F.col("disclosed") >= generalise)
     told = materialise(told.select("entity", "term", F.when(F.col("disclosed") >= remove, F.lit(4)).otherwise(F.lit(5)).alias("kind")))
-    each = rows.select("row", F.explode("entities").alias("entity"), "words").select("row", "entity", F.inline("words"))
+    each = rows.select("row", F.explode("entities").alias("entity"), "words").select("row", "entity", F.inline("words")).filter(_held(_bitmap(told.select("term")), docs))
     # A word beside two entities takes the stronger of its two treatments.
     marked = each.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     own = marked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("terms"))
