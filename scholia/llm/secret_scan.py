@@ -1,18 +1,23 @@
-"""Secret scans behind a trigram index, in plain column expressions.
-
-Each rule's regex is analysed into a Boolean query of trigrams that every match
-must hold. The index is partitioned by document: one bitmap a row of the rules'
-trigrams that its lower-cased text holds, which is that document's share of all
-posting lists. A query intersects postings by bit operations on the bitmap, and
-only candidates are verified with the regex itself. A rule without a mandatory
-trigram scans fully. Document partitioning needs no shuffle, so the cost is one
-scan; ``postings`` gives the same index inverted, as (trigram, doc_id) rows.
-
-Positions are code points. A rule's regex splits the text into gaps and matches;
-running sums of their lengths are the spans.
+"""Secret scans through a trigram inverted index, in plain column expressions.
+
+1. Each rule's regex is analysed into a Boolean query of trigrams that every match
+   must hold; a rule without a mandatory trigram scans every text fully.
+2. One scan of the texts writes the index: a posting (trigram, row key) for each
+   trigram of the rules that a lower-cased text holds. A row key is 128 bits of
+   hash over id and text, so rows alike in both share it and their result.
+3. Posting lists are merged by row key: the lists of a conjunction are intersected,
+   those of a disjunction united. What is left are the candidates of each rule.
+   Postings of a row come from one task, so they combine before the shuffle.
+4. A second scan verifies candidates with the regex itself. Texts that are no
+   candidate are left out by a bitmap of fixed size (8 MB, broadcast), which only
+   spares shuffling: the join with the candidates decides.
+5. A regex splits a text into gaps and matches; running sums of their lengths, by
+   a window over one text's matches, are the spans. Work grows with the matches.
+
+Only candidates' texts are shuffled. Positions are code points.
 
 Defined results for odd input: null text counts as empty; empty texts have no
-spans; repeated rows give a row each; other columns are not read.
+spans; repeated rows give a row each; null ids stay null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +27,11 @@ import re._parser as parser
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm.common import materialise
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -163,76 +170,123 @@ def trigrams(query: Query) -> list[str]:
     return list(dict.fromkeys(t for q in query[1] for t in trigrams(q)))
 
 
-# --- The index and the scan --------------------------------------------------
+# --- The index ---------------------------------------------------------------
 
+_WORD_BITS = 62  # trigrams whose postings one long holds
+#: Bits of the candidates' bitmap, and those of one row of it.
+MAYBE_BITS = 1 << 26
+_CHUNK_BITS = 1 << 15
 
-def bitmap(lowered: Column, words: list[str]) -> list[Column]:
-    """Bitmaps of 62 trigrams each."""
-    out = []
-    for k in range(0, len(words), 62):
-        bits = [F.when(lowered.contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(words[k : k + 62])]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total.bitwiseOR(b)
-        out.append(total)
-    return out
 
+def _index(rules: tuple[Rule, ...]) -> tuple[dict[str, Query], list[str]]:
+    found = {r.kind: trigram_query(r.pattern) for r in rules}
+    return found, list(dict.fromkeys(t for q in found.values() for t in trigrams(q)))
 
-def candidate(query: Query, words: list[str], maps: list[Column]) -> Column:
-    """Whether a row's postings satisfy the query."""
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        query = ("and", (query,))
-    kind, parts = query
-    own = [p for p in parts if isinstance(p, str)]
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, a, b): the text and its row's key."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.select("*", *(F.xxhash64(F.lit(k), "doc_id", "t").alias(c) for k, c in enumerate("ab")))
+
+
+def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, a, b, held, full): a row's postings as numbers of trigrams, and which rules without a trigram match, as bits."""
+    queries, words = _index(rules)
+    rows = _keyed(docs, id_col, text_col).select("*", F.lower("t").alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.col("low").contains(w), F.lit(k)) for k, w in enumerate(words)))) if words else F.array().cast("array<int>")
+    full = F.lit(0).cast("long")
+    for k, r in enumerate(rules):
+        if queries[r.kind] is True:
+            full = full.bitwiseOR(F.when(F.col("t").rlike(r.java), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return rows.select("doc_id", "a", "b", held.alias("held"), full.alias("full"))
+
+
+def _posted(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "a", "b", F.explode("held").alias("trigram"))
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index with trigrams as text: (trigram, doc_id), a row for each posting."""
+    names = F.array(*(F.lit(w) for w in _index(rules)[1]))
+    return _posted(indexed(docs, rules, id_col, text_col)).select(F.get(names, F.col("trigram")).alias("trigram"), "doc_id")
+
+
+def _met(query: Query, words: list[str], maps: list[Column]) -> Column:
+    """Whether merged postings satisfy a query."""
+    kind, parts = ("and", (query,)) if isinstance(query, str) else query
     out = []
     for k, m in enumerate(maps):
-        mask = sum(1 << (words.index(t) - 62 * k) for t in own if words.index(t) // 62 == k)
+        mask = sum(1 << n % _WORD_BITS for n in (words.index(p) for p in parts if isinstance(p, str)) if n // _WORD_BITS == k)
         if mask:
-            met = m.bitwiseAND(F.lit(mask))
-            out.append(met == mask if kind == "and" else met != 0)
-    out += [candidate(p, words, maps) for p in parts if not isinstance(p, str)]
+            both = m.bitwiseAND(F.lit(mask))
+            out.append(both == mask if kind == "and" else both != 0)
+    out += [_met(p, words, maps) for p in parts if not isinstance(p, str)]
     total = out[0]
     for c in out[1:]:
         total = total & c if kind == "and" else total | c
     return total
 
 
-def _index(rules: tuple[Rule, ...]) -> tuple[dict[str, Query], list[str]]:
-    found = {r.kind: trigram_query(r.pattern) for r in rules}
-    return found, list(dict.fromkeys(t for q in found.values() for t in trigrams(q)))
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index of the rules' trigrams: (trigram, doc_id), a row for each posting."""
-    _, words = _index(rules)
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__low"))
-    held = F.array_compact(F.array(*(F.when(F.col("__low").contains(t), F.lit(t)) for t in words)))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(a, b, kinds): the rules whose posting lists meet at a row key, as bits; ``rows`` as ``indexed`` gives them."""
+    queries, words = _index(rules)
+    none, n_maps = F.lit(0).cast("long"), -(-len(words) // _WORD_BITS)
+    own = lambda k: F.when(F.floor(F.col("trigram") / _WORD_BITS) == k, _bit(F.col("trigram") % _WORD_BITS)).otherwise(none)
+    merged = _posted(rows).groupBy("a", "b").agg(*(F.bit_or(own(k)).alias(f"m{k}") for k in range(n_maps)))
+    maps, kinds = [F.col(f"m{k}") for k in range(n_maps)], none
+    for k, r in enumerate(rules):
+        if queries[r.kind] is not True:
+            kinds = kinds.bitwiseOR(F.when(_met(queries[r.kind], words, maps), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    found = merged.select("a", "b", kinds.alias("kinds")).unionByName(rows.select("a", "b", F.col("full").alias("kinds")))
+    return found.filter("kinds <> 0").groupBy("a", "b").agg(F.bit_or("kinds").alias("kinds"))
+
 
+def _likely(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``rows`` whose key may be one of ``found``: no false negatives."""
+    place = F.pmod(F.col("a"), F.lit(MAYBE_BITS))
+    chunk, within = F.floor(place / _CHUNK_BITS).cast("int"), (place % _CHUNK_BITS).cast("long")
+    # MAYBE_BITS / _CHUNK_BITS rows of 4 KB at most, at every size.
+    maps = F.broadcast(found.select(chunk.alias("c"), within.alias("w")).groupBy("c").agg(F.bitmap_construct_agg("w").alias("bits")))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("w") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.withColumns({"c": chunk, "w": within}).join(maps, "c").filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("w") % 8).cast("int"))) != 0).drop("c", "w", "bits")
 
-SPAN = "array<struct<start:int,kind:int,end:int>>"
 
+# --- The scan ----------------------------------------------------------------
 
-def _spans(text: Column, rule: Rule, kind: int) -> Column:
-    """Spans of one rule, in order."""
+
+def _matches(text: Column, rule: Rule, kind: int, with_text: bool) -> Column:
+    """A struct for each match of one rule, in order: what lies between it and the one before, and its length."""
     pattern = F.lit(rule.java)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    lengths = F.transform(matches, lambda m: F.length(m))
-    held = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m: F.length(m)) if rule.group else lengths
-    gaps = F.transform(F.split(text, rule.java, -1), lambda g: F.length(g))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(lengths)), F.arrays_zip(lengths.alias("n"), held.alias("h")), lambda g, m: F.struct(g.alias("g"), m["n"].alias("n"), m["h"].alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
+    gaps = F.slice(F.split(text, rule.java, -1), 1, F.size(found))
+    parts = F.arrays_zip(found.alias("m"), group.alias("g"), gaps.alias("gap"))
+    return F.transform(
+        parts,
+        lambda p, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), (F.length(p["gap"]) + F.length(p["m"])).cast("long").alias("step"), F.length(p["m"]).alias("n"),
+            (F.length(p["g"]) >= rule.least).alias("ok"), (p["m"] if with_text else F.lit(None).cast("string")).alias("secret"),
+        ),
+    )
+
+
+_MATCHES = "array<struct<kind:int,i:int,step:bigint,n:int,ok:boolean,secret:string>>"
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["g"]
-        end = begin + m["n"]
-        own = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        grown = F.concat(acc["out"], F.array(own))
-        return F.struct(end.alias("at"), (F.when(m["h"] >= rule.least, grown).otherwise(acc["out"]) if rule.least else grown).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, a, b), and (a, b, kind, start, end, secret) of every span of a key."""
+    rows = materialise(indexed(docs, rules, id_col, text_col))
+    some = materialise(candidates(rows, rules))
+    texts = _likely(_keyed(docs, id_col, text_col).drop("doc_id"), some).join(some, ["a", "b"]).dropDuplicates(["a", "b"])
+    each = [F.when(F.col("kinds").bitwiseAND(F.lit(1 << k)) != 0, _matches(F.col("t"), r, k, with_text)).otherwise(F.array().cast(_MATCHES)) for k, r in enumerate(rules)]
+    matches = texts.select("a", "b", F.inline(F.concat(*each)))
+    end = F.sum("step").over(Window.partitionBy("a", "b", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    spans = matches.withColumn("end", end.cast("int")).filter("ok").select("a", "b", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "secret")
+    return rows.select("doc_id", "a", "b"), spans
 
 
 def _joined(spans: Column, kinds: list[str]) -> Column:
@@ -241,28 +295,14 @@ def _joined(spans: Column, kinds: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BASE), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans of each kind, all spans sorted by start and kind, and their texts."""
-    queries, words = _index(rules)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    rows = rows.select("*", F.lower("__t").alias("__low"))
-    maps = bitmap(F.col("__low"), words)
-    rows = rows.select("doc_id", "__t", *(m.alias(f"__m{k}") for k, m in enumerate(maps)))
-    maps = [F.col(f"__m{k}") for k in range(len(maps))]
-    none = F.array().cast(SPAN)
-    found = []
-    for k, rule in enumerate(rules):
-        # A full scan asks first whether there is any match: most texts have none.
-        likely = candidate(queries[rule.kind], words, maps) & F.col("__t").rlike(rule.java)
-        found.append(F.when(likely, _spans(F.col("__t"), rule, k)).otherwise(none).alias(f"__s{k}"))
-    rows = rows.select("doc_id", "__t", *found)
-    own = [F.col(f"__s{k}") for k in range(len(rules))]
-    return rows.select(
-        "doc_id",
-        *(F.size(own[k]).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules)),
-        F.array_sort(F.concat(*own[:n_base])).alias("base_spans"),
-        F.array_sort(F.concat(*own)).alias("all_spans"),
-        F.col("__t").alias("text"),
-    )
+    """doc_id, the number of spans of each kind, and the base spans and all spans sorted by start and kind."""
+    rows, spans = _found(docs, rules, id_col, text_col)
+    own = spans.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
+    every = F.coalesce("s", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    rows = rows.join(own, ["a", "b"], "left").select("doc_id", every.alias("all_spans"))
+    count = lambda k: F.size(F.filter("all_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("all_spans", lambda s: s["kind"] < n_base)
+    return rows.select("doc_id", *(count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules)), base.alias("base_spans"), "all_spans")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,9 +318,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each span: doc_id, kind, start, end and the matched text."""
+    rows, spans = _found(docs, RULES, id_col, text_col, with_text=True)
     names = F.array(*(F.lit(r.kind) for r in RULES))
-    rows = scan(docs, RULES, len(BASE), id_col, text_col).select("doc_id", "text", F.explode("all_spans").alias("s"))
-    return rows.select(
-        "doc_id", F.get(names, F.col("s.kind")).alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-        F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("secret"),
-    )
+    return rows.join(spans, ["a", "b"]).select("doc_id", F.get(names, F.col("kind")).alias("kind"), "start", "end", "secret")

@@ -66,3 +66,23 @@ def test_odd_tables(docs):
     assert S.report(docs(["token=abcdef"] * 2, ids=[None, None])).count() == 2
     found = {(r.doc_id, r.trigram) for r in S.postings(docs(["AKIAx", None, "tok"])).collect()}
     assert found == {(0, "aki"), (0, "kia"), (2, "tok")}
+
+
+def test_work_grows_with_the_matches_of_one_text(docs):
+    import time
+
+    run = "0123456789abcdef01234567 "
+    S.report(docs([run * 10])).collect()
+    began = time.perf_counter()
+    row = S.report(docs([run * 64_000])).first()
+    assert row.n_hex == 64_000 and row.spans.endswith(f"hex:{25 * 63_999}:{25 * 63_999 + 24}")
+    assert time.perf_counter() - began < 10  # growing an array for each match took 48 s
+
+
+def test_lists_are_intersected(docs):
+    """Trigrams of a rule that stand in different texts make no candidate."""
+    df = docs(["akikia", "aki only", "kia only", "AKIA", "AKIA", "deadbeef" * 3])
+    rows = S.indexed(df)
+    found = {r.doc_id: r.kinds for r in rows.join(S.candidates(rows), ["a", "b"]).collect()}
+    bit = {r.kind: 1 << k for k, r in enumerate(S.RULES)}
+    assert found == {0: bit["access"], 3: bit["access"], 4: bit["access"], 5: bit["hex"]}
