@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scholia.llm import mixture
 from scholia.llm.rules import STOPS, SYMBOLS, VERDICT
 from scholia.llm.secret_scan import BASE, RULES
 
@@ -130,7 +131,49 @@ WITH d AS (
 SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)"""
 
 
+def op2() -> str:
+    """The level of the water by running sums in the order of cap / weight; prefixes by running sums in the order of the hash."""
+    weights = ", ".join(f"{float(w)}::DOUBLE" for w in mixture.WEIGHTS)
+
+    def prefix(name: str, test: str, goal: str) -> str:
+        """Rows of one size class with ``more``: whether the middle of the row lies in the prefix."""
+        return f"""
+{name} AS (
+  SELECT r, k, size, sum(size) OVER (PARTITION BY k ORDER BY u, r) - size + size / 2.0 <= {goal} AS more FROM x JOIN {name}_goal USING (k) WHERE size > 0 AND {test}
+)"""
+
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'z') AS k, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(chr(31), '{mixture.SEED}', coalesce('s' || doc_id, 'z'), coalesce('s' || text, 'z'))), 1, 15))::BIGINT AS u FROM documents
+), per AS (
+  SELECT k, sum(size)::BIGINT AS s, count(*) AS n FROM d GROUP BY k
+), w AS (
+  SELECT k, s, n, [{weights}][(row_number() OVER (ORDER BY k) - 1) % {len(mixture.WEIGHTS)} + 1] AS w, s * {float(mixture.EPOCHS)}::DOUBLE AS cap FROM per
+), water AS (
+  SELECT k, cap / w AS ratio, ({mixture.BUDGET}::DOUBLE * sum(s) OVER ()::DOUBLE - (sum(cap) OVER o - cap)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level FROM w
+  WINDOW o AS (ORDER BY cap / w, k ROWS UNBOUNDED PRECEDING)
+), goals AS (
+  SELECT k, s, n, target, whole, target - whole * s AS g FROM (
+    SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END::BIGINT AS whole FROM (
+      SELECT k, s, n, least(cap, coalesce((SELECT arg_min(level, (ratio, k)) FROM water WHERE level < ratio) * w, cap)) AS target FROM w
+    )
+  )
+), x AS (
+  SELECT r, k, size, u, size * n * 2 > s AS large FROM d JOIN goals USING (k)
+), big_goal AS (
+  SELECT k, any_value(g) * sum(size)::DOUBLE / any_value(s) AS first FROM x JOIN goals USING (k) WHERE size > 0 AND large GROUP BY k
+), {prefix("big", "large", "first")}, small_goal AS (
+  SELECT k, greatest(0.0, g - coalesce(took, 0)) AS second FROM goals LEFT JOIN (SELECT k, sum(size) FILTER (more) AS took FROM big GROUP BY k) USING (k)
+), {prefix("small", "NOT large", "second")}, more AS (
+  SELECT r, more FROM big UNION ALL SELECT r, more FROM small
+)
+SELECT doc_id, size, s AS source_size, target, size * (whole + coalesce(more, false)::BIGINT) AS taken, whole + coalesce(more, false)::BIGINT AS copies
+FROM d JOIN goals USING (k) LEFT JOIN more USING (r)"""
+
+
 SQL = {
+    "op2_mixture": op2(),
     "op4_suffix_dedup": op4(),
     "op5_secret_scan": op5(),
     "op7_quality_rules": op7(),

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from scholia.llm import mixture
+from scholia.llm.oracles import SQL
 
 
 def size(t):
@@ -76,3 +77,55 @@ def test_odd_tables(docs):
     assert [(r.target, r.taken) for r in rows] == [(0.0, 0)] * 3
     same = mixture.mix(docs(["a b c"] * 6, ids=[1] * 3 + [None] * 3)).collect()
     assert {r.target for r in same} == {27.0} and sum(r.taken for r in same) == 27
+
+
+@pytest.mark.parametrize("n", [200, 201, 1])
+def test_part_of_rows_alike_is_taken(docs, n):
+    """No multiple of a row's words is the target: as many copies are taken as come nearest."""
+    texts, sources = ["w " * 10] * n + ["v " * 7] * 100, ["a"] * n + ["b"] * 100
+    df = docs(texts, ids=[1] * n + [2] * 100, sources=sources)
+    rows = mixture.mix(df.repartition(5)).collect()
+    for s, words in (("a", 10), ("b", 7)):
+        own = [r for r in rows if r.size == words]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= words / 2 and {r.copies for r in own} <= {0, 1, 2}
+        assert sum(r.copies for r in own) == mixture.mixed(df.filter(df.source.isNotNull())).filter(f"source = '{s}'").count()
+
+
+def test_wordless_rows_stay_within_the_epochs(docs):
+    df = docs([*["a b c"] * 50, None, "", "  ", *["x"] * 400], sources=["a"] * 53 + ["b"] * 400)
+    rows = [r for r in mixture.mix(df).collect() if r.source_size == 150]
+    assert {r.copies for r in rows} == {2}
+
+
+def test_a_ratio_is_reached_by_many_sources(docs):
+    rng = random.Random(3)
+    texts, sources = [], []
+    for k in range(60):
+        for _ in range(rng.randint(1, 6)):
+            texts.append("w " * rng.randint(0, 60))
+            sources.append(f"s{k:02}")
+    sizes = defaultdict(int)
+    for t, s in zip(texts, sources, strict=True):
+        sizes[s] += size(t)
+    want = brute_targets(sizes)
+    for r in mixture.mix(docs(texts, sources=sources)).collect():
+        assert r.target == pytest.approx(want[sources[r.doc_id]])
+
+
+def test_sql_agrees_on_odd_rows(docs):
+    import duckdb
+
+    rng = random.Random(8)
+    texts = [rng.choice([None, "", "a b", "c " * rng.randint(1, 90), "d\te"]) for _ in range(300)]
+    df = docs(texts, ids=[rng.choice([None, *range(40)]) for _ in texts], sources=[rng.choice([None, "x", "y", "é"]) for _ in texts])
+    documents = df.toArrow()  # noqa: F841
+    names = ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    want = duckdb.sql(SQL["op2_mixture"]).select(*names).fetchall()
+    got = [tuple(r) for r in mixture.mix(df).select(names).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_a_long_text(docs):
+    rows = mixture.mix(docs(["w " * 2_000_000, "x y"], sources=["a", "b"])).collect()
+    assert {r.size for r in rows} == {2_000_000, 2} and max(r.copies for r in rows) <= 2
