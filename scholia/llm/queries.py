@@ -48,9 +48,7 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(
-        "longest_match", "longest_at", "longest_item"
-    )
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

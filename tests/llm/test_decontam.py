@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -15,20 +16,26 @@ def tokens(text):
 
 
 def brute(texts, items):
-    patterns = {}
-    for k, t in items:
-        w = tokens(t)
-        for i in range(max(len(w) - 10, 0) + 1) if w and k is not None else ():
-            patterns.setdefault(tuple(w[i : i + 10]), set()).add(str(k))
+    patterns, names, bag = {}, [], [tokens(t) for _, t in items]
+    for n, (k, _) in enumerate(items):
+        names.append(None if k is None else str(k))
+        for i in range(max(len(bag[n]) - 10, 0) + 1) if bag[n] else ():
+            patterns.setdefault(tuple(bag[n][i : i + 10]), []).append((n, i))
     out = []
     for t in texts:
-        w, hit, found = tokens(t), set(), set()
-        for p, ks in patterns.items():
+        w, hit, found, best = tokens(t), set(), set(), (0, 0, False, "")
+        for p, places in patterns.items():
             for i in range(len(w) - len(p) + 1):
                 if tuple(w[i : i + len(p)]) == p:
                     hit |= set(range(i, i + len(p)))
-                    found |= ks
-        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                    for n, j in places:
+                        found.add(names[n])
+                        k = len(p)  # extended word by word
+                        while len(bag[n]) >= 10 and i + k < len(w) and j + k < len(bag[n]) and w[i + k] == bag[n][j + k]:
+                            k += 1
+                        best = min(best, (-k, i, names[n] is None, names[n] or ""))
+        named = sorted(found - {None})
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit), -best[0], best[1] if best[0] else None, best[3] or None))
     return out
 
 
@@ -43,16 +50,16 @@ def test_matches_brute_force(spark, docs, block_words):
         k, t = rng.choice(items)
         texts.append(f"{line(rng.randint(0, 15))} q. {t or ''}! {line(rng.randint(0, 5))}")
     texts += [texts[-1]] * 2
-    df = docs(texts, extra=("n_words", "starts", "__hits", "items"))
+    df = docs(texts, extra=("n_words", "starts", "__HITS", "items"))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = decontam.with_hits(df.select("doc_id", df.text), bench, "text", "state", block_words=block_words)
     got = {r.doc_id: r for r in decontam.report(df, bench).collect()}
     want = brute(texts, items)
     for n, w in enumerate(want):
-        assert tuple(got[n][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == w
+        assert tuple(got[n][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "longest_item")) == w
     for r in rows.collect():
         assert r.state.n_words == want[r.doc_id][0] and sum(b - a for a, b in zip(r.state.starts, r.state.ends, strict=True)) == want[r.doc_id][1]
-        assert len(r.state["items"]) == want[r.doc_id][2]
+        assert len(r.state["items"]) + r.state.unnamed == want[r.doc_id][2] and r.state.longest == want[r.doc_id][5]
     clean = decontam.remove(df, bench)
     assert clean.columns == df.columns
     assert sorted(r.doc_id for r in clean.collect()) == [n for n, w in enumerate(want) if not w[4]]
@@ -71,3 +78,41 @@ def test_empty_tables(spark, docs):
     assert decontam.report(docs(["a b"]), bench).first().contaminated is False
     assert decontam.report(docs(["a"]).limit(0), bench).count() == 0
     assert decontam.remove(docs(["a b", None]), bench).count() == 2
+
+
+def test_long_texts_are_cut_into_shards():
+    rng = random.Random(9)
+    items = [(str(k), [rng.choice([b"a", b"b", b"c"]) for _ in range(n)]) for k, n in enumerate((30, 12, 4))]
+    index = decontam.Index(items)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"q"] if n % 2 else [b"a", b"b", b"c"]) for _ in range(n)) for n in (0, 5, 60, 61, 200, 333, 1)]
+    texts += [b"q " * 45 + b" ".join(items[0][1]) + b" q" * 20]
+    whole = list(decontam.scan(index, texts))
+    assert any(found for _, found in whole)
+    for size in (10, 50, 64):
+        assert list(decontam.scan(index, texts, shard_words=size)) == whole
+
+
+def test_ten_million_words_in_bounded_memory(tmp_path):
+    """Measured in a process of its own, whose peak is not that of the other tests."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from scholia.llm import decontam
+index = decontam.Index([("1", [b"w%d" % k for k in range(40)])])
+text = b"filler words here " * 3_333_333 + b" ".join(b"w%d" % k for k in range(40))
+((n, found),) = decontam.scan(index, [text])
+assert n == 10_000_039 and found[3:] == (40, 9_999_999, "1"), (n, found)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(Path(__file__).resolve().parents[2]))
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 1024
+
+
+def test_every_block_is_a_stage_of_its_own(spark, docs):
+    bench = spark.createDataFrame([(k, f"x{k} y z") for k in range(6)], "item_id bigint, text string")
+    rows = decontam.with_hits(docs(["x1 y z", "x5 y z"]), bench, "text", "state", block_words=3)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.state["items"] for r in rows.orderBy("doc_id").collect()] == [["1"], ["5"]]
