@@ -43,6 +43,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table of our own that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows that cross to a Python worker at once.
 BATCH_ROWS = 1000
 
@@ -50,7 +56,8 @@ BATCH_ROWS = 1000
 def small_batches(df: DataFrame) -> None:
     """Bounds what an Arrow function holds: Spark's default of 10,000 rows is much for whole texts.
 
-    Spark also bounds a batch by bytes. A lower setting of the session stays.
+    Spark also bounds a batch by bytes. A lower setting of the session stays. The
+    plan is run after this returns, so the setting remains with the session.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:

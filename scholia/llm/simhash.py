@@ -11,7 +11,9 @@
    its 48 free bits as 6 blocks of 8, of which 3 must agree (20 keys), then the
    24 free bits as 8 blocks of 3, of which 5 must agree (56 keys). What is left
    are 9 free bits, so no group has more than 512 members: the bound is proven
-   and nothing is dropped to keep it.
+   and nothing is dropped to keep it. Above ``WIDE`` fingerprints, where nearly
+   all groups of 16 bits would be too large, the first blocks are 5, of which 2
+   must agree (10 keys of 25 bits or more), so few groups are dealt again.
 5. A group gives only a spanning forest of its links, at most one link for each
    member, and alternating large-star and small-star steps join the links into
    components. Links stay distributed; the driver sees only counts.
@@ -32,21 +34,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import LOWER, fresh, materialise, shuffle_partitions, small_batches
+from scholia.llm.common import LOWER, fresh, materialise, own_columns, shuffle_partitions, small_batches
 
 SHINGLE = 3
 BITS = 3
 SEED = 42
 #: Most members of a trie group before its fingerprints are dealt by more bits.
 GROUP = 512
+#: Distinct fingerprints above which the first blocks are 5: then a group of 16 bits has half of ``GROUP`` on average.
+WIDE = (GROUP // 2) << 16
 #: The corpus stage: words of a shingle, and tenths of Jaccard similarity that make a near-duplicate.
 WORDS = 5
 TENTHS = 8
 #: Rows in which frequent shingles are counted, and how many of these are kept.
 SAMPLE = 20_000
 FREQUENT = 100_000
-#: Bits of the bitmap of ids whose texts are read again.
+#: Least and most bits of a bitmap of ids, of which there are sixteen for each id between.
 MAYBE = 1 << 22
+MAYBE_MOST = 1 << 27
 
 _JOINED = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in LOWER)
 
@@ -183,8 +188,8 @@ def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signatures(mask: int, blocks: int, budget: int) -> list[int]:
     """Masks of fixed bits: the bits of ``mask`` in ``blocks`` blocks, of which all but ``budget`` must agree."""
     free = [b for b in range(64) if mask >> b & 1]
-    size = len(free) // blocks
-    parts = [sum(1 << b for b in free[k * size : (k + 1) * size]) for k in range(blocks)]
+    cuts = [len(free) * k // blocks for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
     return [sum(c) for c in combinations(parts, blocks - budget)]
 
 
@@ -192,24 +197,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _levels() -> list[dict[int, list[int]]]:
-    """For each level, the fixed masks that a fixed mask of the level above leads to."""
+def _levels(first: int = 4) -> list[dict[int, list[int]]]:
+    """For each level, the fixed masks that a fixed mask of the level above leads to; ``first``: blocks of the first level."""
     whole = (1 << 64) - 1
     out, above = [], [0]
-    for blocks in (4, 6, 8):
+    for blocks in (first, 6, 8):
         level = {f: [f | s for s in _signatures(whole & ~f, blocks, BITS)] for f in above}
         out.append(level)
         above = sorted({m for ms in level.values() for m in ms})
     return out
 
 
-def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Spanning links (u, v) between distinct fingerprints ``fp``."""
+def links(nodes: DataFrame, group: int = GROUP, wide: int = WIDE) -> DataFrame:
+    """Spanning links (u, v) between distinct fingerprints ``fp``; ``nodes`` is materialised."""
     spark = nodes.sparkSession
     n, found = shuffle_partitions(spark), []
     rows = nodes.select("fp", F.lit(0).cast("long").alias("fixed"))
-    for depth, level in enumerate(_levels()):
-        # Masks are a fixed table of at most 1 + 4 + 80 rows of masks.
+    for depth, level in enumerate(_levels(4 if nodes.count() <= wide else 5)):
+        # Masks are a fixed table of at most 1 + 10 + 200 rows of masks.
         if depth == 0:
             masks = F.array(*(F.lit(_signed(m)) for m in level[0]))
             dealt = rows.select("fp", F.explode(masks).alias("fixed"))
@@ -319,13 +324,14 @@ def _apart(a: bytes, b: bytes) -> int:
 
 
 def _held(ids: DataFrame, column: Column) -> Column:
-    """Whether an id may be one of ``ids``: a bitmap of MAYBE bits, without false negatives."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAYBE))
-    at = ids.select(place(F.col("__id")).alias("p"))
+    """Whether an id may be one of ``ids`` (column ``id``, materialised): a bitmap of bounded size, without false negatives."""
+    most = min(MAYBE_MOST, max(MAYBE, 1 << (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(most))
+    at = ids.select(place(F.col("id")).alias("p"))
     got = at.groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w")).toArrow()
-    words = np.zeros(MAYBE // 64, dtype=np.int64)
+    words = np.zeros(most // 64, dtype=np.int64)
     words[got.column("k").to_numpy()] = got.column("w").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))  # 512 KB at every size
+    shared = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))  # 512 KB to 16 MB
 
     def run(places: pa.Array) -> pa.Array:
         p = places.to_numpy(zero_copy_only=False)
@@ -395,9 +401,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     pairs = materialise(pairs.filter(F.arrow_udf(near, "boolean")("bu", "bv", F.col("su") + F.col("sv"))).select("u", "v"))
     some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # Only rows that a pair needs are hashed again.
-    ids = materialise(nodes.join(some, "node").select(F.col("id").alias("__id")).distinct())
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(_held(ids, F.col(id_col)))
-    held = rows.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select(F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>")("__text").alias("s"))
+    ids = materialise(nodes.join(some, "node").select("id").distinct())
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(_held(ids, F.col("doc")))
+    held = rows.join(ids, F.col("doc").eqNullSafe(F.col("id")), "left_semi").select(F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>")("text").alias("s"))
     sets = materialise(held.select("s.*").join(some, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -440,29 +446,36 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words have one set, the empty one.
 
     Ids may repeat or be null: a row is told by its id and set, and of rows alike
-    in both, one stays. The set is computed again where the rows are chosen,
-    which is cheaper than keeping it beside every text.
+    in both, one stays. Rows are chosen by two bitmaps of ids, so texts are not
+    shuffled, but for the few that both hold: these are told apart exactly.
     """
     small_batches(docs)
-    prints = _prefixes(docs, id_col, text_col, width, tenths)
-    counts = prints.groupBy("node", "doc_id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), "n")).alias("s")
-    whole = materialise(counts.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    nodes = whole.select("node", "s.*", "fp", "size", "bits")
+    prints = materialise(_prefixes(docs, id_col, text_col, width, tenths))
+    attributes = [F.first(c).alias(c) for c in ("fp", "size", "bits", "keys")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("s")
+    whole = materialise(prints.groupBy("node").agg(least, *attributes).select("node", "s.*", "fp", "size", "bits", "keys"))
+    nodes = whole.drop("keys")
     roots = _similar(nodes, whole.select("node", "size", F.explode("keys").alias("key")), docs, id_col, text_col, width, tenths)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = F.min(F.struct("z", "id", "node", "n")).alias("s")
-    keep = materialise(placed.groupBy("root").agg(best).select(F.col("s.id").alias("__id"), F.col("s.node").alias("__kept"), F.col("s.n").alias("__n")))
-    name = fresh("__print", docs)
+    best = placed.groupBy("root").agg(F.min(F.struct("z", "id", "node")).alias("s")).select(F.col("s.id").alias("id"), "s.node", F.lit(True).alias("kept"))
+
+    # All rows by id and set; what is not kept once is in doubt.
+    rows = prints.groupBy("doc_id", "node").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "id")
+    marked = rows.join(best, rows["id"].eqNullSafe(best["id"]) & (rows["node"] == best["node"]), "left")
+    marked = materialise(marked.select(rows["id"], rows["node"], "n", F.coalesce("kept", F.lit(False)).alias("kept")))
+    doubt = materialise(marked.filter("not kept or n > 1"))
+    # Of ids that the bitmap of doubtful ones holds, few are kept all the same: only their texts are shuffled.
+    still = materialise(marked.filter("kept").filter((F.col("n") > 1) | _held(doubt, F.col("id"))))
+    in_doubt = _held(doubt, docs[f"`{id_col}`"])
+    sure = docs.filter(~in_doubt)
+    if still.isEmpty():
+        return sure
+    name, own, node = (fresh(x, docs) for x in ("__print", "__kept", "__node"))
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([_node(shingles(t, width)) for t in texts.cast(pa.binary()).to_pylist()], type=pa.int64())
 
-    marked = docs.withColumn(name, F.arrow_udf(run, "bigint")(F.col(text_col)))
-    same = marked[id_col].eqNullSafe(keep["__id"]) & (marked[name] == keep["__kept"])
-    kept = marked.join(keep, same)
-    columns = [marked[f"`{c}`"] for c in docs.columns]
-    if keep.filter("__n > 1").isEmpty():
-        return kept.select(*columns)
-    alone = kept.filter("__n = 1").select(*columns)
-    return alone.unionByName(kept.filter("__n > 1").dropDuplicates(["__id", "__kept"]).select(*columns))
+    rest = docs.filter(in_doubt & _held(still, docs[f"`{id_col}`"])).withColumn(name, F.arrow_udf(run, "bigint")(F.col(f"`{text_col}`")))
+    keys = still.select(F.col("id").alias(own), F.col("node").alias(node))
+    rest = rest.join(keys, rest[f"`{id_col}`"].eqNullSafe(keys[own]) & (rest[name] == keys[node])).dropDuplicates([own, node])
+    return sure.unionByName(rest.select(*own_columns(docs)))

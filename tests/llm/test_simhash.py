@@ -57,10 +57,10 @@ def test_trie_finds_exactly_the_near_pairs():
     assert got == want and len(pairs) == len(want)
 
 
-def check(spark, prints, group):
+def check(spark, prints, group, wide=simhash.WIDE):
     unique = sorted(set(prints))
     df = spark.createDataFrame([(simhash._signed(p),) for p in unique], "fp bigint")
-    found = simhash.components(simhash.links(df, group))
+    found = simhash.components(simhash.links(df, group, wide))
     roots = {r.node % 2**64: r.root for r in found.collect()}
     got = {}
     for p in unique:
@@ -81,13 +81,19 @@ def test_components_match_brute_force_with_hot_groups_dealt_again(spark):
             prints.append(p)
     base = rng.getrandbits(64)
     prints += [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(80)]
-    for group in (512, 8, 1):
-        check(spark, prints, group)
+    for group, wide in ((512, simhash.WIDE), (8, simhash.WIDE), (1, simhash.WIDE), (512, 0), (1, 0)):
+        check(spark, prints, group, wide)
+
+
+def test_groups_have_a_proven_bound():
+    for first in (4, 5):
+        last = {m for masks in simhash._levels(first)[-1].values() for m in masks}
+        assert all(64 - m.bit_count() <= 9 for m in last)
 
 
 def test_rows_nulls_copies_and_clashing_columns(spark, docs):
     texts = ["a b c d e f", None, "a b c d e f", "", "A B C D E F", "other words stand here now", None]
-    df = docs(texts, ids=[5, 7, 5, 3, 2, None, None], extra=("fp", "root", "n", "__print", "component_id"))
+    df = docs(texts, ids=[5, 7, 5, 3, 2, None, None], extra=("fp", "root", "n", "__print", "component_id", "__n", "__id", "__kept", "__NODE", "id", "node", "kept"))
     rows = sorted(simhash.near_duplicates(df).collect(), key=str)
     by = {(r.doc_id, r.fingerprint): r.component_id for r in rows}
     assert len(rows) == len(texts)
