@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.common import materialise, small_batches
@@ -150,23 +150,18 @@ def _positions(h: np.ndarray) -> np.ndarray:
     return ((low[:, None] + np.arange(HASHES, dtype=np.uint64) * (high[:, None] | np.uint64(1))) % np.uint64(BLOOM_BITS)).astype(np.int64)
 
 
-def term_hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode(), 42)
-
-
-def _bitmap(terms: DataFrame) -> np.ndarray:
-    """A Bloom bitmap of the terms; at most BLOOM_BITS / 64 numbers reach the driver."""
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A Bloom bitmap of a column of term hashes; at most BLOOM_BITS / 64 numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.array([term_hash(t) for t in b.column(0).to_pylist()], dtype=np.uint64)
-            at = np.unique(_positions(h))
-            words = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-            np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-            own = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own].view(np.int64))], names=["k", "w"])
-
-    got = terms.mapInArrow(run, "k bigint, w bigint").groupBy("k").agg(F.bit_or("w").alias("w")).toArrow()
+            at = np.unique(_positions(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            place, ones = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
+            both = np.bitwise_or.reduceat(ones, cut) if len(at) else ones
+            yield pa.RecordBatch.from_arrays([pa.array(place[cut]), pa.array(both.view(np.int64))], names=["k", "w"])
+
+    got = hashes.mapInArrow(run, "k bigint, w bigint").groupBy("k").agg(F.bit_or("w").alias("w")).toArrow()
     words = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
     words[got.column("k").to_numpy()] = got.column("w").to_numpy()
     return words.view(np.uint64)
@@ -200,15 +195,15 @@ def _document_counts(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> Data
     return rows.groupBy("h").agg(F.sum("n").alias("n_t"))
 
 
-def _held(bitmap: np.ndarray, docs: DataFrame):
-    """Whether the column ``term`` may be in the bitmap; the join that follows is exact."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _held(bitmap: np.ndarray, docs: DataFrame, hashes: Column) -> Column:
+    """Whether a term hash may be in the bitmap; the join that follows is exact."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2 MB at every size
 
-    def run(terms: pa.Array) -> pa.Array:
-        at = _positions(np.array([term_hash(t) for t in terms.to_pylist()], dtype=np.uint64))
+    def run(values: pa.Array) -> pa.Array:
+        at = _positions(values.to_numpy(zero_copy_only=False).view(np.uint64))
         return pa.array(((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1))
 
-    return F.arrow_udf(run, "boolean")("term")
+    return F.arrow_udf(run, "boolean")(hashes)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -226,12 +221,17 @@ def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support
     pairs = some.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     held = some.groupBy("entity").agg(F.count("*").alias("n_e"))
     n = rows.count()
-    hashed = F.xxhash64("term").alias("h")
-    counts = _document_counts(docs, text_col, _bitmap(some.select(F.explode("terms").alias("term"))))
-    joined = pairs.select("*", hashed).join(counts, "h")
-    if least is not None and n:
-        # As n_e is n_et or more, PMI at this share of IC or more bounds n_t.
-        joined = joined.filter(F.col("n_t") <= (1 + 1e-9) * float(n) ** (1 - least) * F.pow("n_et", F.lit(least)))
+    of = lambda term: F.xxhash64(term).alias("h")
+    counts = materialise(_document_counts(docs, text_col, _bitmap(some.select(F.explode("terms").alias("term")).select(of("term")))))
+    pairs = pairs.select("*", of("term"))
+    # As n_e is n_et or more, PMI at this share of IC or more bounds n_t.
+    most = (1 + 1e-9) * float(n) ** (1 - least) if least is not None and n else None
+    if most is not None:
+        # Most pairs stand in one document, where only a rare term can reach the share: the others need not meet their counts.
+        pairs = pairs.filter((F.col("n_et") > 1) | _held(_bitmap(counts.filter(F.col("n_t") <= most).select("h")), docs, F.col("h")))
+    joined = pairs.join(counts, "h")
+    if most is not None:
+        joined = joined.filter(F.col("n_t") <= most * F.pow("n_et", F.lit(least)))
     joined = joined.join(held, "entity")
     pmi = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
@@ -243,7 +243,8 @@ def disclosure(rows: DataFrame, docs: DataFrame, text_col: str = "text", support
 def _with_terms(rows: DataFrame, docs: DataFrame, text_col: str, remove: float, generalise: float) -> DataFrame:
     told = disclosure(rows, docs, text_col, least=generalise).filter(F.col("disclosed") >= generalise)
     told = materialise(told.select("entity", "term", F.when(F.col("disclosed") >= remove, F.lit(4)).otherwise(F.lit(5)).alias("kind")))
-    each = rows.select("row", F.explode("entities").alias("entity"), "words").select("row", "entity", F.inline("words")).filter(_held(_bitmap(told.select("term")), docs))
+    each = rows.select("row", F.explode("entities").alias("entity"), "words").select("row", "entity", F.inline("words"))
+    each = each.filter(_held(_bitmap(told.select(F.xxhash64("term"))), docs, F.xxhash64("term")))
     # A word beside two entities takes the stronger of its two treatments.
     marked = each.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     own = marked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("terms"))
