@@ -26,12 +26,12 @@ any non-null id has a null component_id; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.common import LOWER, fresh, materialise, own_columns, shuffle_partitions, small_batches
@@ -413,37 +413,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
     """(node, root) of nodes that a chain of similar sets joins.
 
-    The first candidates are spanning: links of the fingerprints' trie join, and
-    each key's nodes with its least. Then all pairs that share a key and are in
-    different components yet are compared, so no similar pair is left out.
+    The first candidates are links of the fingerprints' trie join and, for each
+    key, its nodes with its least. Then, as long as a turn finds a link, the nodes
+    of every key that still has several components are compared with another of
+    its nodes, which the turn's hash picks for each key. A turn has one candidate
+    for a node and key at most, so no group is paired with itself. A similar pair
+    shares many keys; it stays apart only if neither of the two, nor a text that
+    links them, is ever the one picked.
     """
     alike = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)
-    each = Window.partitionBy("key")
-    shared = keys.withColumns({"least": F.min(F.struct("node", "size")).over(each), "greatest": F.max("node").over(each)}).filter("greatest > least.node")
-    shared = materialise(shared.select("key", "node", "size", F.col("least.node").alias("least"), F.col("least.size").alias("least_size")))
+    ends = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest")).filter("greatest > least.node")
+    shared = materialise(keys.join(ends, "key").select("key", "node", "size", F.col("least.node").alias("least"), F.col("least.size").alias("least_size")))
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("v")))
     near = links(firsts.select("fp"))
     by_print = near.join(firsts.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     same_print = nodes.join(firsts, "fp").filter("node > v").select(F.col("node").alias("u"), "v")
     by_key = shared.filter(F.col("node") > F.col("least")).filter(alike(F.col("size"), F.col("least_size"))).select(F.col("node").alias("u"), F.col("least").alias("v"))
     edges = _verified(by_print.union(same_print).union(by_key), nodes, docs, id_col, text_col, width, tenths)
-    rooted = shared.select("key", "node", "size").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted)
-    # A key whose nodes are all in one component has nothing left to compare.
-    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    left = rooted.join(several, "key", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    test = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.size"), F.col("b.size"))
-    rest = _verified(a.join(b, test).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
-    return components(edges.union(rest))
+    for turn in count(1):
+        joined = components(edges)
+        rooted = materialise(shared.select("key", "node", "size").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        # A key whose nodes are all in one component has nothing left to compare.
+        picked = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.struct("node", "size", "root").alias("p"))).alias("s")
+        several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), picked).filter("a < b").select("key", "s.p")
+        pairs = rooted.join(several, "key").filter(F.col("root") != F.col("p.root")).filter(alike(F.col("size"), F.col("p.size")))
+        found = _verified(pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
+        if found.isEmpty():
+            return joined
+        edges = materialise(edges.union(found))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, tenths: int = TENTHS) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``: that of the least id.
 
     Near are texts whose sets of ``width``-word shingles have a Jaccard
-    similarity of ``tenths`` / 10 or more; every link is verified. Texts without
-    words have one set, the empty one.
+    similarity of ``tenths`` / 10 or more; every link is verified on the sets. How
+    candidates are found is told at ``_similar``. Texts without words have one
+    set, the empty one.
 
     Ids may repeat or be null: a row is told by its id and set, and of rows alike
     in both, one stays. Rows are chosen by two bitmaps of ids, so texts are not
