@@ -46,6 +46,8 @@ WIDE = (GROUP // 2) << 16
 #: The corpus stage: words of a shingle, and tenths of Jaccard similarity that make a near-duplicate.
 WORDS = 5
 TENTHS = 8
+#: Nodes of a key that a turn compares with the others.
+PICKED = 8
 #: Rows in which frequent shingles are counted, and how many of these are kept.
 SAMPLE = 20_000
 FREQUENT = 100_000
@@ -399,6 +401,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     left, right = (nodes.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("size").alias(f"s{c}")) for c in "uv")
     pairs = pairs.distinct().join(left, "u").join(right, "v")
     pairs = materialise(pairs.filter(F.arrow_udf(near, "boolean")("bu", "bv", F.col("su") + F.col("sv"))).select("u", "v"))
+    if pairs.isEmpty():
+        return pairs
     some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     # Only rows that a pair needs are hashed again.
     ids = materialise(nodes.join(some, "node").select("id").distinct())
@@ -415,11 +419,11 @@ def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, te
 
     The first candidates are links of the fingerprints' trie join and, for each
     key, its nodes with its least. Then, as long as a turn finds a link, the nodes
-    of every key that still has several components are compared with another of
-    its nodes, which the turn's hash picks for each key. A turn has one candidate
-    for a node and key at most, so no group is paired with itself. A similar pair
+    of every key that still has several components are compared with ``PICKED``
+    others of its nodes, which the turn's hashes pick for each key. Candidates grow
+    with the nodes of a key, so no group is paired with itself. A similar pair
     shares many keys; it stays apart only if neither of the two, nor a text that
-    links them, is ever the one picked.
+    links them, is ever among the picked.
     """
     alike = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)
     ends = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest")).filter("greatest > least.node")
@@ -434,9 +438,10 @@ def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, te
         joined = components(edges)
         rooted = materialise(shared.select("key", "node", "size").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
         # A key whose nodes are all in one component has nothing left to compare.
-        picked = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.struct("node", "size", "root").alias("p"))).alias("s")
-        several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), picked).filter("a < b").select("key", "s.p")
-        pairs = rooted.join(several, "key").filter(F.col("root") != F.col("p.root")).filter(alike(F.col("size"), F.col("p.size")))
+        picked = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * PICKED + k)).alias("h"), F.struct("node", "size", "root").alias("p")))["p"].alias(f"p{k}") for k in range(PICKED)]
+        several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), *picked).filter("a < b")
+        others = F.array_distinct(F.filter(F.array(*(f"p{k}" for k in range(PICKED))), lambda p: (p["root"] != F.col("root")) & alike(p["size"], F.col("size"))))
+        pairs = rooted.join(several, "key").select("node", F.explode(others).alias("p"))
         found = _verified(pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
         if found.isEmpty():
             return joined
