@@ -110,7 +110,7 @@ def operator_words(code: Column) -> Column:
     none = F.array().cast("array<string>")
     double = [(op, words) for op, words in fixed.OPERATOR_WORDS if len(op) == 2]
     single = [(op, words) for op, words in fixed.OPERATOR_WORDS if len(op) == 1]
-    said = lambda rest, op, words: F.when(F.contains(rest, F.lit(op)), F.array(*(F.lit(w) for w in words.split()))).otherwise(none)
+    said = lambda rest, op, words: F.when(F.contains(rest, F.lit(op)), F.array(*(F.lit(w) for w in words))).otherwise(none)
     found, rest = [], code
     for op, words in double:
         found.append(said(rest, op, words))

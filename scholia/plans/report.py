@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions import fixed
+from scholia.operators.lineage import materialise
 from scholia.operators.rules import INFO, WARN, severity_name
 from scholia.sources.config import SEVERITIES, Config
 
@@ -102,39 +103,33 @@ def grouped(findings: DataFrame) -> DataFrame:
 
 
 def policy(fired: set[str], cfg: Config | None) -> str:
-    points = [p for families, p in fixed.POLICY if any(r.startswith(families) for r in fired)]
-    points += [fixed.POLICY_GUARD, *(cfg.agent_policy if cfg else [])]
-    return fixed.POLICY_OPENING + "\n".join(f"{k}. {p}" for k, p in enumerate(points, 1)) + "\n\n" + fixed.POLICY_CLOSING
-
-
-def _group(g: dict) -> list[str]:
-    head = g["sites"][0]
-    times = f" ×{g['n']}" if g["n"] > 1 else ""
-    label = f" — {head['message']}" if head["excerpt"] else ""
-    out = [f"- `{g['rule']}` [{'MUST FIX' if g['must'] else 'consider'}]{times}{label}", f"  fix: {g['action']}"]
-    return out + [f"  - **{place(s['line'], s['end_line'])}**: {('`' + s['excerpt'] + '`') if s['excerpt'] else s['message']}" for s in g["sites"]]
+    """The head of the report: what the rules that fired ask for, and what the project adds."""
+    asked = [wish for families, wish in fixed.POLICY if any(r.startswith(families) for r in fired)]
+    asked += [fixed.POLICY_GUARD, *(cfg.agent_policy if cfg else [])]
+    return fixed.POLICY_OPENING + "".join(f"* {wish}\n" for wish in asked) + f"\n{fixed.POLICY_CLOSING}\n"
 
 
 def agent(findings: DataFrame, stats: dict, cfg: Config | None = None) -> str:
-    numbered = [r.asDict() | {"ord_": k} for k, r in enumerate(findings.select(*FIELDS).collect())]
-    if not numbered:
+    """Findings by section, file and advice, with the places under each.
+
+    Spark groups the findings; what reaches the driver is what is printed.
+    """
+    ordered = materialise(findings.select(*FIELDS, F.monotonically_increasing_id().alias("ord_")))
+    n = severity_counts(ordered).first()
+    if not sum(n):
         return fixed.NOTHING_FOUND
-    schema = "rule string, severity int, path string, line int, end_line int, message string, action string, excerpt string, ord_ int"
-    table = findings.sparkSession.createDataFrame([tuple(r[k] for k in (*FIELDS, "ord_")) for r in numbered], schema)
-    out, section, path = [policy({r["rule"] for r in numbered}, cfg)], None, None
-    for row in grouped(table).collect():
-        g = row.asDict(recursive=True)
-        if path is not None and (g["section"], g["path"]) != (section, path):
-            out.append("")
-        if g["section"] != section:
-            out.append(f"\n## {fixed.SECTIONS[g['section']]}\n")
-        if (g["section"], g["path"]) != (section, path):
-            out.append(f"### `{g['path']}`\n")
-        section, path = g["section"], g["path"]
-        out += _group(g)
-    n = [sum(r["severity"] == k for r in numbered) for k in range(3)]
-    out += ["", f"\n---\nSummary: {n[2]} error(s), {n[1]} warning(s), {n[0]} hint(s) across {stats.get('files_scanned', 0)} file(s)."]
-    return "\n".join(out)
+    fired = {r.rule for r in ordered.select("rule").distinct().collect()}
+    lines, above = [policy(fired, cfg)], (None, None)
+    for g in grouped(ordered).collect():
+        here = (g.section, g.path)
+        if here != above:
+            lines += ["", f"[{fixed.SECTIONS[g.section]}] {g.path}"]
+            above = here
+        duty = "required" if g.must else "optional"
+        lines.append(f"- {g.rule}, {duty}, {g.n} place(s): {g.action}")
+        lines += [f"    {place(s.line, s.end_line)} {s.excerpt or s.message}" for s in g.sites]
+    totals = ", ".join(f"{n[k]} {k}" for k in reversed(SEVERITIES))
+    return "\n".join([*lines, "", f"Total: {totals}; files read: {stats.get('files_scanned', 0)}"])
 
 
 # --- SARIF ----------------------------------------------------------------------------

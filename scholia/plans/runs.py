@@ -1,7 +1,7 @@
 """The commands as functions: from paths, baselines and diffs to findings.
 
 The driver lists names and locates files; contents of working trees are read by
-Spark, old versions come from git or from reversing a diff.
+Spark, old versions come from git, read by Spark too, or from reversing a diff.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.operators.lineage import materialise
 from scholia.plans.gate import check, differences, gate
 from scholia.sources import diffs, files, git
 from scholia.sources.config import Config, UsageError
@@ -44,11 +45,7 @@ def check_baseline(baseline: str, anchor: Path) -> None:
     if baseline.startswith("git:"):
         git.check_ref(baseline[4:] or "HEAD", anchor if anchor.is_dir() else anchor.parent)
     elif not Path(baseline).exists():
-        raise UsageError(f"baseline path does not exist: {baseline}")
-
-
-def _tree(spark: SparkSession, rows: list[tuple[str, bytes]]) -> DataFrame:
-    return spark.createDataFrame([(k, name, name, bytearray(data)) for k, (name, data) in enumerate(rows)], files.FILES)
+        raise UsageError(f"the baseline {baseline} is neither a file nor a folder")
 
 
 def _path_baseline(spark: SparkSession, base: Path, found: list[tuple[Path, Path]], cfg: Config):
@@ -75,15 +72,17 @@ def _git_baseline(spark: SparkSession, ref: str, found: list[tuple[Path, Path]],
         top = tops[folder]
         if top is not None and f.resolve().is_relative_to(top.resolve()):
             wanted.setdefault(top, {}).setdefault(f.resolve().relative_to(top.resolve()).as_posix(), []).append(k)
-    rows = [(k, bytearray(data)) for top, names in wanted.items() for rel, data in git.blobs(top, ref, names) if data is not None for k in names[rel]]
+    rows = [(k, str(top), ref, rel) for top, names in wanted.items() for rel, ks in names.items() for k in ks]
+    olds = materialise(git.contents(spark, rows).select("file_ord", "content"))
 
     def sweep() -> DataFrame:
         first = found[0][0].resolve()
         top = git.top_of(first if first.is_dir() else first.parent)
         rest = [n for n in git.tree(top, ref, cfg) if n not in wanted.get(top, {})] if top else []
-        return _tree(spark, [(n, d) for n, d in git.blobs(top, ref, rest) if d is not None] if rest else [])
+        table = git.contents(spark, [(k, str(top), ref, n) for k, n in enumerate(rest)])
+        return materialise(table.select("file_ord", F.col("name").alias("path"), F.col("name").alias("rel"), "content"))
 
-    return spark.createDataFrame(rows, OLD), sweep
+    return olds, sweep
 
 
 def _gated(table: DataFrame, olds: DataFrame, sweep, cfg: Config, stats: dict) -> Run:
@@ -103,7 +102,7 @@ def gate_paths(spark: SparkSession, paths: list[str], baseline: str, cfg: Config
 def gate_changes(spark: SparkSession, baseline: str, cfg: Config) -> Run:
     """Git says what has changed."""
     if not baseline.startswith("git:"):
-        raise UsageError("gate without paths needs a git: baseline (or --diff)")
+        raise UsageError("what has changed is told by git, which needs a git: baseline")
     check_baseline(baseline, Path("."))
     ref = baseline[4:] or "HEAD"
     top, names, skipped = git.changes(ref, cfg)
@@ -117,7 +116,7 @@ def _located(rel: str, root: Path) -> Path:
     for base in (root, git.top_of(root)):
         if base is not None and (base / rel).is_file():
             return base / rel
-    raise UsageError(f"file from diff not found on disk: {rel} (stale diff, or run from the directory the diff paths are relative to)")
+    raise UsageError(f"{rel}, which the diff names, is not found below {root}")
 
 
 def gate_diff(spark: SparkSession, text: str, cfg: Config, restrict: list[str] | None = None, label: str = "diff:stdin", root: Path | None = None) -> Run:
@@ -151,17 +150,17 @@ def verify(spark: SparkSession, text: str, root: Path | None = None) -> list[tup
     for k, patch in enumerate(diffs.parse(text)):
         path = patch.new_path
         if path is None:
-            out.append((k, patch.old_path or "<unknown>", "file deleted"))
+            out.append((k, patch.old_path or "<unknown>", "the file is gone"))
         elif patch.binary:
-            out.append((k, path, "binary change"))
+            out.append((k, path, "binary content"))
         elif language_of(path) is None:
-            out.append((k, path, "unsupported language, cannot verify"))
+            out.append((k, path, "no reader for its language"))
         else:
             new = decoded(_located(path, root).read_bytes())
             pairs.append((f"{k}\n{path}", diffs.old_text(patch, new), new))
     if pairs:
         found = differences(fingerprints(spark.createDataFrame(pairs, "path string, old string, new string")))
-        out += [(int((p := r.path.split("\n", 1))[0]), p[1], f"code changed near: {r.near!r}") for r in found.collect()]
+        out += [(int((p := r.path.split("\n", 1))[0]), p[1], f"code differs at {r.near!r}") for r in found.collect()]
     return [(path, what) for _, path, what in sorted(out)]
 
 

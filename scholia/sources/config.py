@@ -67,7 +67,7 @@ def disabled(value: str) -> list[str]:
     out = [x.strip() for x in value.split(",")]
     for x in out:
         if not RULE_ID.match(x):
-            raise UsageError(f"invalid rule id in --disable: '{x}' (expected UC/STE optionally followed by digits)")
+            raise UsageError(f"no rule is called {x!r}: ids begin with UC or STE and go on in digits")
     return out
 
 
@@ -113,7 +113,7 @@ def from_table(table: dict, source: str) -> Config:
             values[name] = float(value) if isinstance(defaults[name], float) else value
     problems += _problems(values)
     if problems:
-        raise UsageError(f"invalid configuration in {source}: " + "; ".join(problems))
+        raise UsageError(f"settings of {source} cannot be used: " + "; ".join(problems))
     return Config(**values)
 
 
@@ -121,7 +121,7 @@ def _read(path: Path) -> dict:
     try:
         return tomllib.loads(path.read_text(encoding="utf-8"))
     except tomllib.TOMLDecodeError as error:
-        raise UsageError(f"invalid TOML in {path}: {error}") from error
+        raise UsageError(f"{path} is no TOML: {error}") from error
 
 
 def _own(data: dict) -> dict:
@@ -134,7 +134,7 @@ def load(start: str | Path = ".", explicit: str | None = None) -> Config:
     """The named file, or the first one found upward from ``start``; without any, the defaults."""
     if explicit:
         if not Path(explicit).is_file():
-            raise UsageError(f"config file does not exist: {explicit}")
+            raise UsageError(f"no settings file at {explicit}")
         return from_table(_own(_read(Path(explicit))), explicit)
     here = Path(start).resolve()
     for folder in [here, *here.parents]:

@@ -83,7 +83,7 @@ class _Reader:
             return
         sides = {"": (1, 1), " ": (1, 1), "-": (1, 0), "+": (0, 1)}.get(tag)
         if sides is None:
-            raise UsageError(f"malformed diff: unexpected line inside hunk: {line!r}")
+            raise UsageError(f"cannot read the diff: a hunk holds {line!r}")
         hunk = self.last.hunks[-1]
         for k, rows in enumerate((hunk.old_lines, hunk.new_lines)):
             if sides[k]:
@@ -102,7 +102,7 @@ class _Reader:
             self.last.old_path, self.has_old = clean_path(line[4:], self.git), True
         elif line.startswith("@@") and (m := _HUNK.match(line)):
             if self.last is None:
-                raise UsageError(f"malformed diff: hunk header before any file header: {line!r}")
+                raise UsageError(f"cannot read the diff: no file is named before {line!r}")
             self.last.hunks.append(Hunk(int(m[1]), int(m[3])))
             self.due = [int(m[2] or 1), int(m[4] or 1)]
         elif self.last is not None:
@@ -125,7 +125,7 @@ def parse(text: str) -> list[Patch]:
         else:
             reader.outside(line)
     if text.strip() and not reader.patches:
-        raise UsageError("input does not look like a unified diff (no file headers found)")
+        raise UsageError("no unified diff: nothing in it names a file")
     return reader.patches
 
 
@@ -141,9 +141,9 @@ def reversed_lines(hunks: list[Hunk], rows: list[str], label: str) -> list[str]:
         at = h.new_start - bool(h.new_lines)
         end = at + len(h.new_lines)
         if not done <= at <= len(rows):
-            raise UsageError(f"diff does not match {label}: hunk at new-file line {h.new_start} is out of range")
+            raise UsageError(f"stale diff: {label} has no line {h.new_start} for a hunk")
         if [x.rstrip("\r") for x in rows[at:end]] != [x.rstrip("\r") for x in h.new_lines]:
-            raise UsageError(f"diff does not match {label} at line {at + 1}: the file changed after the diff was taken")
+            raise UsageError(f"stale diff: {label} reads otherwise from line {at + 1} on")
         out += rows[done:at] + h.old_lines
         done = end
     return out + rows[done:]

@@ -112,7 +112,7 @@ def listing(paths: list[str | Path], cfg: Config | None = None, root: str | Path
     cfg, out, seen = cfg or Config(), Listing(), set()
     for path in map(Path, paths):
         if not path.exists():
-            raise UsageError(f"path does not exist: {path}")
+            raise UsageError(f"no such file or directory: {path}")
         if path.is_file():
             own = [path] if supported(path.name) else []
             out.skipped += not own

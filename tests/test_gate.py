@@ -81,9 +81,9 @@ def test_diff_baselines_and_verify(spark, repository):
     text = subprocess.run(["git", "diff"], capture_output=True, text=True, check=True).stdout
     got = runs.gate_diff(spark, text, Config())
     assert [(r.path, r.rule) for r in got.findings.collect() if r.severity] == [("src/a.js", "UC003"), ("src/a.js", "UC002")]
-    assert runs.verify(spark, text) == [("src/moved.py", "file deleted")]
+    assert runs.verify(spark, text) == [("src/moved.py", "the file is gone")]
     (repository / "src/a.js").write_text(NEW.replace("null", "0"))
-    with pytest.raises(UsageError, match="does not match"):
+    with pytest.raises(UsageError, match="stale diff"):
         runs.gate_diff(spark, text, Config())
     text = subprocess.run(["git", "diff", "src/a.js"], capture_output=True, text=True, check=True).stdout
     assert runs.verify(spark, text) == [("src/a.js", "code changed near: 'let timer = 0;'")]
