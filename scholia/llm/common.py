@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -43,6 +44,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and, if it is told to clean them, the checkpoints that nothing refers to any more.
+
+    Its cleaner follows the collection of garbage, which in a small driver may
+    come late, while an iterative job goes on writing.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a table of our own that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

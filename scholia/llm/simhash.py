@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import LOWER, fresh, materialise, own_columns, shuffle_partitions, small_batches
+from scholia.llm.common import LOWER, fresh, materialise, own_columns, release, shuffle_partitions, small_batches
 
 SHINGLE = 3
 BITS = 3
@@ -425,28 +425,32 @@ def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, te
     shares many keys; it stays apart only if neither of the two, nor a text that
     links them, is ever among the picked.
     """
-    ends = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).filter("greatest > least")
+    alike = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)
+    ends = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest")).filter("greatest > least.node")
     # Keys that several components hold; which do so can only become fewer.
-    open_ = materialise(keys.join(ends, "key").select("key", "node", "least"))
+    open_ = materialise(keys.join(ends, "key").select("key", "node", "size", F.col("least.node").alias("least"), F.col("least.size").alias("least_size")))
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("v")))
     near = links(firsts.select("fp"))
     by_print = near.join(firsts.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     same_print = nodes.join(firsts, "fp").filter("node > v").select(F.col("node").alias("u"), "v")
-    by_key = open_.filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    by_key = open_.filter("node > least").filter(alike(F.col("size"), F.col("least_size"))).select(F.col("node").alias("u"), F.col("least").alias("v"))
     edges = _verified(by_print.union(same_print).union(by_key), nodes, docs, id_col, text_col, width, tenths)
-    open_ = open_.select("key", "node")
+    open_ = open_.select("key", "node", "size")
+    del near, by_print, same_print, by_key, ends
     for turn in count(1):
+        release(docs.sparkSession)
         joined = components(edges)
-        rooted = open_.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rooted = open_.join(joined, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
         rooted = materialise(rooted.join(several, "key", "left_semi"))
-        picked = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * PICKED + k)).alias("h"), F.struct("node", "root").alias("p")))["p"].alias(f"p{k}") for k in range(PICKED)]
-        others = F.array_distinct(F.filter(F.array(*(f"p{k}" for k in range(PICKED))), lambda p: p["root"] != F.col("root")))
+        picked = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * PICKED + k)).alias("h"), F.struct("node", "size", "root").alias("p")))["p"].alias(f"p{k}") for k in range(PICKED)]
+        others = F.array_distinct(F.filter(F.array(*(f"p{k}" for k in range(PICKED))), lambda p: (p["root"] != F.col("root")) & alike(p["size"], F.col("size"))))
         pairs = rooted.join(rooted.groupBy("key").agg(*picked), "key").select("node", F.explode(others).alias("p"))
         found = _verified(pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
         if found.isEmpty():
             return joined
-        edges, open_ = materialise(edges.union(found)), rooted.select("key", "node")
+        edges, open_ = materialise(edges.union(found)), rooted.select("key", "node", "size")
+        del joined, rooted, several, pairs, found
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, tenths: int = TENTHS) -> DataFrame:
@@ -465,9 +469,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = materialise(_prefixes(docs, id_col, text_col, width, tenths))
     attributes = [F.first(c).alias(c) for c in ("fp", "size", "bits", "keys")]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("s")
-    whole = prints.groupBy("node").agg(least, *attributes)
-    nodes = materialise(whole.select("node", "s.*", "fp", "size", "bits"))
-    roots = _similar(nodes, whole.select("node", F.explode("keys").alias("key")), docs, id_col, text_col, width, tenths)
+    whole = materialise(prints.groupBy("node").agg(least, *attributes).select("node", "s.*", "fp", "size", "bits", "keys"))
+    prints = materialise(prints.select("doc_id", "node"))
+    nodes = materialise(whole.drop("keys"))
+    release(docs.sparkSession)
+    roots = _similar(nodes, whole.select("node", "size", F.explode("keys").alias("key")), docs, id_col, text_col, width, tenths)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct("z", "id", "node")).alias("s")).select(F.col("s.id").alias("id"), "s.node", F.lit(True).alias("kept"))
 
