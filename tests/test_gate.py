@@ -86,7 +86,7 @@ def test_diff_baselines_and_verify(spark, repository):
     with pytest.raises(UsageError, match="stale diff"):
         runs.gate_diff(spark, text, Config())
     text = subprocess.run(["git", "diff", "src/a.js"], capture_output=True, text=True, check=True).stdout
-    assert runs.verify(spark, text) == [("src/a.js", "code changed near: 'let timer = 0;'")]
+    assert runs.verify(spark, text) == [("src/a.js", "code differs at 'let timer = 0;'")]
 
 
 def test_path_baselines(spark, tmp_path):
