@@ -58,25 +58,33 @@ MAYBE_MOST = 1 << 27
 _JOINED = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in LOWER)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one text."""
+def hashes(text: bytes | None, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of ``width`` words, repeats included; a shorter text is one run."""
     words = (text or b"").translate(_JOINED).split(b" ")
     words = [w for w in words if w] if b"" in words else words
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)  # one shingle: its hash is the fingerprint
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.r_[0, ends[:-shingle]].tolist()
-    ends = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], dtype="<u8")
+    if len(words) <= width:
+        return np.array([digest(line, seed)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.r_[0, ends[:-width]].tolist()
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def majority(own: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; of none, zero."""
     counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), 1 << 16):  # 64 bytes for each hash at a time
-        part = hashes[k : k + (1 << 16)]
+    for k in range(0, len(own), 1 << 16):  # 64 bytes for each hash at a time
+        part = own[k : k + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one text."""
+    return majority(hashes(text, shingle, seed))
 
 
 def fingerprint_column(text: Column) -> Column:
@@ -292,17 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` words; a shorter text is one run."""
-    words = (text or b"").translate(_JOINED).split(b" ")
-    words = [w for w in words if w] if b"" in words else words
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    line = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.r_[0, ends[:-width]].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
+    return np.unique(hashes(text, width))
 
 
 def _node(own: np.ndarray) -> int:
@@ -368,14 +366,15 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, tenths: i
         hot, count = shared.value
         nodes, fps, sizes, bits, keys = [], [], [], [], []
         for t in texts.cast(pa.binary()).to_pylist():
-            own = shingles(t, width)
+            every = hashes(t, width)
+            own = np.unique(every)
             most = len(own) - -(-tenths * len(own) // 10) + 1 if len(own) else 0
             weight = np.zeros(len(own), dtype=np.int64)
             if len(hot) and len(own):
                 k = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
                 weight = np.where(hot[k] == own, count[k], 0)
             nodes.append(_node(own))
-            fps.append(_signed(fingerprint(t, width)))
+            fps.append(_signed(majority(every)))
             sizes.append(len(own))
             bits.append(parity(own))
             keys.append(own[np.lexsort((own, weight))[:most]].view(np.int64))
