@@ -403,8 +403,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     if pairs.isEmpty():
         return pairs
     some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    # Only rows that a pair needs are hashed again. Were the function deterministic, the filter that
-    # Spark infers from the join would pull it below the bitmap, and it would run on all rows.
+    # Only rows that a pair needs are to be hashed again; declared deterministic, the function ran on all rows,
+    # for a reason not settled: Spark may not reorder a nondeterministic one.
     hashed = F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>").asNondeterministic()
     ids = materialise(nodes.join(some, "node").select("id").distinct())
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(_held(ids, F.col("doc")))
@@ -494,7 +494,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([_node(shingles(t, width)) for t in texts.cast(pa.binary()).to_pylist()], type=pa.int64())
 
-    hashed = F.arrow_udf(run, "bigint").asNondeterministic()  # not below the bitmaps, as in _verified
+    hashed = F.arrow_udf(run, "bigint").asNondeterministic()  # as in _verified
     rest = docs.filter(in_doubt & _held(still, docs[f"`{id_col}`"])).withColumn(name, hashed(F.col(f"`{text_col}`")))
     keys = still.select(F.col("id").alias(own), F.col("node").alias(node))
     rest = rest.join(keys, rest[f"`{id_col}`"].eqNullSafe(keys[own]) & (rest[name] == keys[node])).dropDuplicates([own, node])
