@@ -48,13 +48,15 @@ WORDS = 5
 TENTHS = 8
 #: Nodes of a key that a turn compares with the others.
 PICKED = 8
-#: Rows in which frequent shingles are counted, and how many of these are kept.
-SAMPLE = 20_000
-FREQUENT = 100_000
+#: Bands of a set's signature and minima in each: sets of similarity s share no band with odds of (1 - s ** 4) ** 32,
+#: five in a hundred million at 0.8.
+BANDS = 32
+MINIMA = 4
 #: Least and most bits of a bitmap of ids, of which there are sixteen for each id between.
 MAYBE = 1 << 22
 MAYBE_MOST = 1 << 27
 
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(BANDS * MINIMA)], dtype=np.uint64)
 _JOINED = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in LOWER)
 
 
@@ -340,44 +342,35 @@ def _held(ids: DataFrame, column: Column) -> Column:
     return F.arrow_udf(run, "boolean")(place(column))
 
 
-def _rare_first(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count) of shingles that are frequent in a sample, by hash.
-
-    Only an order of shingles is taken from it, so what the sample misses costs
-    time and no result.
-    """
+def _minima(own: np.ndarray) -> np.ndarray:
+    """The least value of each of the signature's multiplications over a set that is not empty."""
+    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(own), 1 << 12):  # 8 bytes for each hash and factor at a time
+        np.minimum(out, (own[k : k + (1 << 12), None] * _FACTORS).min(axis=0), out=out)
+    return out
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t, width).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], type=pa.list_(pa.int64()))
 
-    part = docs.select(F.col(text_col).alias("t")).sample(min(1.0, SAMPLE / max(docs.count(), 1)), seed=SEED)
-    each = part.select(F.explode(F.arrow_udf(run, "array<bigint>")("t")).alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's signature, signed; of the empty set none. A clash of keys only adds candidates."""
+    if not len(own):
+        return np.empty(0, dtype=np.int64)
+    rows = _minima(own).reshape(BANDS, MINIMA) * _FACTORS[:MINIMA]
+    return (rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _FACTORS[-1]).view(np.int64)
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
-    """(doc_id, node, fp, size, bits, keys): a row's set, its fingerprint and parities, and the rarest shingles, one of which any set as similar must hold among its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(_rare_first(docs, text_col, width))  # at most FREQUENT numbers
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, node, fp, size, bits, keys): a row's set, its fingerprint, parities and band keys."""
 
     def run(texts: pa.Array) -> pa.Array:
-        hot, count = shared.value
         nodes, fps, sizes, bits, keys = [], [], [], [], []
         for t in texts.cast(pa.binary()).to_pylist():
             every = hashes(t, width)
             own = np.unique(every)
-            most = len(own) - -(-tenths * len(own) // 10) + 1 if len(own) else 0
-            weight = np.zeros(len(own), dtype=np.int64)
-            if len(hot) and len(own):
-                k = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                weight = np.where(hot[k] == own, count[k], 0)
             nodes.append(_node(own))
             fps.append(_signed(majority(every)))
             sizes.append(len(own))
             bits.append(parity(own))
-            keys.append(own[np.lexsort((own, weight))[:most]].view(np.int64))
+            keys.append(band_keys(own))
         return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "size", "bits", "keys"])
 
     kind = "struct<node:bigint,fp:bigint,size:bigint,bits:binary,keys:array<bigint>>"
@@ -403,12 +396,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     if pairs.isEmpty():
         return pairs
     some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    # Only rows that a pair needs are to be hashed again; declared deterministic, the function ran on all rows,
-    # for a reason not settled: Spark may not reorder a nondeterministic one.
-    hashed = F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>").asNondeterministic()
     ids = materialise(nodes.join(some, "node").select("id").distinct())
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(_held(ids, F.col("doc")))
-    held = rows.join(ids, F.col("doc").eqNullSafe(F.col("id")), "left_semi").select(hashed("text").alias("s"))
+    # Written first, so that no plan can hash other rows than those that a pair needs.
+    texts = materialise(rows.join(ids, F.col("doc").eqNullSafe(F.col("id")), "left_semi").select("text"))
+    held = texts.select(F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>")("text").alias("s"))
     sets = materialise(held.select("s.*").join(some, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -418,13 +410,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
     """(node, root) of nodes that a chain of similar sets joins.
 
-    The first candidates are links of the fingerprints' trie join and, for each
-    key, its nodes with its least. Then, as long as a turn finds a link, the nodes
-    of every key that still has several components are compared with ``PICKED``
-    others of its nodes, which the turn's hashes pick for each key. Candidates grow
-    with the nodes of a key, so no group is paired with itself. A similar pair
-    shares many keys; it stays apart only if neither of the two, nor a text that
-    links them, is ever among the picked.
+    Fingerprints of similar sets differ in about ten bits, beyond any budget that
+    the trie join can prune by, so a set is also known by keys: the bands of a
+    signature of minima. The first candidates are links of the trie join and, for
+    each key, its nodes with its least. Then, as long as a turn finds a link, the
+    nodes of every key that still has several components are compared with
+    ``PICKED`` others of its nodes, which the turn's hashes pick for each key.
+    Candidates grow with the nodes of a key, so no group is paired with itself. A
+    similar pair shares about 13 keys or more; it stays apart only if it shares none,
+    or if neither of the two, nor a text that links them, is ever among the picked.
     """
     alike = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)
     ends = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest")).filter("greatest > least.node")
@@ -467,7 +461,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shuffled, but for the few that both hold: these are told apart exactly.
     """
     small_batches(docs)
-    prints = materialise(_prefixes(docs, id_col, text_col, width, tenths))
+    prints = materialise(_sets(docs, id_col, text_col, width))
     attributes = [F.first(c).alias(c) for c in ("fp", "size", "bits", "keys")]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("s")
     whole = materialise(prints.groupBy("node").agg(least, *attributes).select("node", "s.*", "fp", "size", "bits", "keys"))
@@ -494,8 +488,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([_node(shingles(t, width)) for t in texts.cast(pa.binary()).to_pylist()], type=pa.int64())
 
-    hashed = F.arrow_udf(run, "bigint").asNondeterministic()  # as in _verified
-    rest = docs.filter(in_doubt & _held(still, docs[f"`{id_col}`"])).withColumn(name, hashed(F.col(f"`{text_col}`")))
+    rest = materialise(docs.filter(in_doubt & _held(still, docs[f"`{id_col}`"])))
+    rest = rest.withColumn(name, F.arrow_udf(run, "bigint")(F.col(f"`{text_col}`")))
     keys = still.select(F.col("id").alias(own), F.col("node").alias(node))
     rest = rest.join(keys, rest[f"`{id_col}`"].eqNullSafe(keys[own]) & (rest[name] == keys[node])).dropDuplicates([own, node])
     return sure.unionByName(rest.select(*own_columns(docs)))
