@@ -31,7 +31,7 @@ from itertools import combinations, count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import LOWER, fresh, materialise, own_columns, release, shuffle_partitions, small_batches
@@ -412,40 +412,44 @@ def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, te
 
     Fingerprints of similar sets differ in about ten bits, beyond any budget that
     the trie join can prune by, so a set is also known by keys: the bands of a
-    signature of minima. The first candidates are links of the trie join and, for
-    each key, its nodes with its least. Then, as long as a turn finds a link, the
+    signature of minima. The first candidates are links of the trie join and each
+    node with one least node of a key. Then, as long as a turn finds a link, the
     nodes of every key that still has several components are compared with
-    ``PICKED`` others of its nodes, which the turn's hashes pick for each key.
-    Candidates grow with the nodes of a key, so no group is paired with itself. A
-    similar pair shares about 13 keys or more; it stays apart only if it shares none,
-    or if neither of the two, nor a text that links them, is ever among the picked.
+    ``PICKED`` of its nodes, which the turn's hashes pick: all that are there, if the
+    key has no more. Candidates grow with the nodes of a key, so no group is paired
+    with itself. A similar pair shares about 13 keys or more; it stays apart only if
+    it shares none, or if all that it shares have more than ``PICKED`` nodes and
+    neither of the two, nor a text that links them, is ever among the picked.
     """
-    alike = lambda a, b: 10 * F.least(a, b) >= tenths * F.greatest(a, b)
     ends = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest")).filter("greatest > least.node")
-    # Keys that several components hold; which do so can only become fewer.
-    open_ = materialise(keys.join(ends, "key").select("key", "node", "size", F.col("least.node").alias("least"), F.col("least.size").alias("least_size")))
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("v")))
     near = links(firsts.select("fp"))
     by_print = near.join(firsts.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     same_print = nodes.join(firsts, "fp").filter("node > v").select(F.col("node").alias("u"), "v")
-    by_key = open_.filter("node > least").filter(alike(F.col("size"), F.col("least_size"))).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    # Of the least nodes of its keys, a node meets the one with which it shares the most.
+    met = keys.join(ends, "key").filter("node > least.node").groupBy("node", F.col("least.node").alias("v")).agg(F.count("*").alias("n"))
+    by_key = met.groupBy("node").agg(F.max(F.struct("n", "v"))["v"].alias("v")).select(F.col("node").alias("u"), "v")
     edges = _verified(by_print.union(same_print).union(by_key), nodes, docs, id_col, text_col, width, tenths)
-    open_ = open_.select("key", "node", "size")
-    del near, by_print, same_print, by_key, ends
+    open_ = keys
+    del near, by_print, same_print, met, by_key, ends
     for turn in count(1):
         release(docs.sparkSession)
         joined = components(edges)
         rooted = open_.join(joined, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        # Keys that several components hold; which do so can only become fewer.
         several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
         rooted = materialise(rooted.join(several, "key", "left_semi"))
-        picked = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * PICKED + k)).alias("h"), F.struct("node", "size", "root").alias("p")))["p"].alias(f"p{k}") for k in range(PICKED)]
-        others = F.array_distinct(F.filter(F.array(*(f"p{k}" for k in range(PICKED))), lambda p: (p["root"] != F.col("root")) & alike(p["size"], F.col("size"))))
-        pairs = rooted.join(rooted.groupBy("key").agg(*picked), "key").select("node", F.explode(others).alias("p"))
+        # Keys of like members pick like nodes, so what two nodes share often is one candidate. Spark keeps a limit of each task before the shuffle.
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        top = rooted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PICKED)
+        picked = top.groupBy("key").agg(F.collect_list(F.struct("node", "size", "root")).alias("picked"))
+        others = F.filter("picked", lambda p: (p["root"] != F.col("root")) & (10 * F.least(p["size"], F.col("size")) >= tenths * F.greatest(p["size"], F.col("size"))))
+        pairs = rooted.join(picked, "key").select("node", F.explode(others).alias("p"))
         found = _verified(pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
         if found.isEmpty():
             return joined
         edges, open_ = materialise(edges.union(found)), rooted.select("key", "node", "size")
-        del joined, rooted, several, pairs, found
+        del joined, rooted, several, top, picked, pairs, found
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, tenths: int = TENTHS) -> DataFrame:
