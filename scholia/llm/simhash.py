@@ -26,12 +26,12 @@ any non-null id has a null component_id; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, count
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.common import LOWER, fresh, materialise, own_columns, release, shuffle_partitions, small_batches
@@ -46,8 +46,11 @@ WIDE = (GROUP // 2) << 16
 #: The corpus stage: words of a shingle, and tenths of Jaccard similarity that make a near-duplicate.
 WORDS = 5
 TENTHS = 8
-#: Nodes of a key that a turn compares with the others.
-PICKED = 8
+#: Most nodes of a block, and members of all sets in it: a key with more has several, and each two of them meet.
+BLOCK = 1024
+BLOCK_MEMBERS = 1 << 24
+#: Words of bitmaps that are compared at once.
+WORDS_AT_ONCE = 1 << 18
 #: Bands of a set's signature and minima in each: sets of similarity s share no band with odds of (1 - s ** 4) ** 32,
 #: five in a hundred million at 0.8.
 BANDS = 32
@@ -378,12 +381,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.select("doc_id", "s.*")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of ``tenths`` / 10 or more."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t, width) for t in texts.cast(pa.binary()).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own"])
+def _hopeful(pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (u, v) that sizes and bitmaps leave possible."""
 
     def near(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
         # J >= k / 10 means that the sets differ in (10 - k) / (10 + k) of their members at most.
@@ -392,7 +391,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
     left, right = (nodes.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("size").alias(f"s{c}")) for c in "uv")
     pairs = pairs.distinct().join(left, "u").join(right, "v").filter(10 * F.least("su", "sv") >= tenths * F.greatest("su", "sv"))
-    pairs = materialise(pairs.filter(F.arrow_udf(near, "boolean")("bu", "bv", F.col("su") + F.col("sv"))).select("u", "v"))
+    return pairs.filter(F.arrow_udf(near, "boolean")("bu", "bv", F.col("su") + F.col("sv"))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of ``tenths`` / 10 or more."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [shingles(t, width) for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own"])
+
+    pairs = materialise(pairs.distinct())
     if pairs.isEmpty():
         return pairs
     some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
@@ -407,49 +416,138 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return materialise(both.filter(10 * common >= tenths * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def _similar(nodes: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
+def _units(keys: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Materialised rows (key, x, y, side, node): the nodes of a key, or of two blocks ``x`` and ``y`` of a large key's.
+
+    Rows (key, node, size) of keys that one node holds are left out. A node is in
+    block ``side``; in a unit of two blocks only nodes of different blocks meet,
+    in a unit of one block all do, so each two nodes of a key meet once.
+    """
+    dealt = keys.repartition("key")  # written once, read by both sides of the join
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("m")).filter("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
+    rows = dealt.join(counts.select("key", blocks.alias("b")), "key").select("key", "node", F.pmod(F.xxhash64("node"), "b").cast("int").alias("side"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
+    return materialise(rows.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node"))
+
+
+def _apart_at(words: np.ndarray, at: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``_apart`` of the bitmaps of rows ``i`` and ``j``: ``wide`` words of ``words`` from ``at``, in i and j alike or twice as many in one."""
+    i, j = np.where(wide[i] <= wide[j], i, j), np.where(wide[i] <= wide[j], j, i)
+    out = np.empty(len(i), dtype=np.int64)
+    for w, twice in {*zip(wide[i].tolist(), (wide[i] < wide[j]).tolist(), strict=True)}:
+        of = np.flatnonzero((wide[i] == w) & ((wide[i] < wide[j]) == twice))
+        step = max(1, WORDS_AT_ONCE // w)
+        for k in range(0, len(of), step):
+            part = of[k : k + step]
+            here = np.arange(w)
+            y = at[j[part], None] + here
+            x = words[at[i[part], None] + here] ^ words[y]
+            out[part] = np.bitwise_count(x ^ words[y + w] if twice else x).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def near_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, bits: list[bytes], tenths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i and j, and how far apart they are at least, of one unit and different roots, which sizes and bitmaps leave possible.
+
+    ``group`` are increasing runs, a unit each.
+    """
+    words, wide = np.frombuffer(b"".join(bits), dtype=np.uint64), np.array([len(b) // 8 for b in bits], dtype=np.int64)
+    at = np.cumsum(wide) - wide
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.repeat(np.r_[cut[1:], len(group)], np.diff(np.r_[cut, len(group)]))
+    two = np.logical_or.reduceat(side != side[cut][np.cumsum(np.r_[0, group[1:] != group[:-1]])], cut)
+    two = np.repeat(two, np.diff(np.r_[cut, len(group)]))
+    after = ends - np.arange(len(group)) - 1
+    upto, got, k = np.cumsum(after), [], 0
+    while k < len(group):
+        # Rows from k on that have WORDS_AT_ONCE later rows in their units together, one row at least.
+        to = max(k + 1, int(np.searchsorted(upto, upto[k] - after[k] + WORDS_AT_ONCE, "right")))
+        n = after[k:to]
+        i = np.repeat(np.arange(k, to), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        few, many = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        some = (root[i] != root[j]) & (10 * few >= tenths * many) & ~(two[i] & (side[i] == side[j]))
+        i, j = i[some], j[some]
+        apart = _apart_at(words, at, wide, i, j)
+        near = (10 + tenths) * apart <= (10 - tenths) * (size[i] + size[j])
+        got.append((i[near], j[near], apart[near]))
+        k = to
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
+def _joining(every: bool, tenths: int):
+    """An Arrow pass over units sorted by (key, x, y): all candidates, or two for each row.
+
+    The two are the row nearest to it, and of all that are near the first in an
+    order by hash, which joins a group of like rows to one of them.
+    """
+
+    def pairs(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        side, node, root, size = (t.column(c).to_numpy() for c in ("side", "node", "root", "size"))
+        i, j, apart = near_rows(group, side, root, size, t.column("bits").to_pylist(), tenths)
+        if not every and len(i):
+            a, b, far, mixed = np.r_[i, j], np.r_[j, i], np.r_[apart, apart], node.view(np.uint64) * _FACTORS[0]
+            by_far, by_hash = np.lexsort((mixed[b], far, a)), np.lexsort((mixed[b], a))
+            first = np.r_[True, a[by_far][1:] != a[by_far][:-1]]  # a's runs are alike in both orders
+            some = np.r_[by_far[first], by_hash[first]]
+            i, j = a[some], b[some]
+        u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+        once = np.unique(np.stack([u, v], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if not len(held):
+                continue
+            unit = np.stack([held.column(c).to_numpy() for c in ("key", "x", "y")], axis=1)
+            group = np.cumsum(np.r_[False, (unit[1:] != unit[:-1]).any(axis=1)])
+            whole = int(np.searchsorted(group, group[-1]))
+            if whole:
+                yield pairs(held.slice(0, whole), group[:whole])
+                held = held.slice(whole)
+        if held is not None and len(held):
+            unit = np.stack([held.column(c).to_numpy() for c in ("key", "x", "y")], axis=1)
+            yield pairs(held, np.cumsum(np.r_[False, (unit[1:] != unit[:-1]).any(axis=1)]))
+
+    return run
+
+
+def _similar(nodes: DataFrame, units: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
     """(node, root) of nodes that a chain of similar sets joins.
 
     Fingerprints of similar sets differ in about ten bits, beyond any budget that
     the trie join can prune by, so a set is also known by keys: the bands of a
-    signature of minima. The first candidates are links of the trie join and each
-    node with one least node of a key. Then, as long as a turn finds a link, the
-    nodes of every key that still has several components are compared with
-    ``PICKED`` of its nodes, which the turn's hashes pick: all that are there, if the
-    key has no more. Candidates grow with the nodes of a key, so no group is paired
-    with itself. A similar pair shares about 13 keys or more; it stays apart only if
-    it shares none, or if all that it shares have more than ``PICKED`` nodes and
-    neither of the two, nor a text that links them, is ever among the picked.
+    signature of minima. Links of the trie join, and two near nodes of a key for
+    each of its nodes, are verified first. Then every two nodes of a key that are
+    still in different components are compared by sizes and bitmaps, which never
+    tell similar sets apart, and all pairs that these leave possible are verified
+    on the sets. So no pair of similar sets that shares a key stays apart, however
+    many nodes the key has.
     """
-    ends = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest")).filter("greatest > least.node")
+    n, unit = shuffle_partitions(docs.sparkSession), ["key", "x", "y"]
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("v")))
     near = links(firsts.select("fp"))
     by_print = near.join(firsts.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     same_print = nodes.join(firsts, "fp").filter("node > v").select(F.col("node").alias("u"), "v")
-    # Of the least nodes of its keys, a node meets the one with which it shares the most.
-    met = keys.join(ends, "key").filter("node > least.node").groupBy("node", F.col("least.node").alias("v")).agg(F.count("*").alias("n"))
-    by_key = met.groupBy("node").agg(F.max(F.struct("n", "v"))["v"].alias("v")).select(F.col("node").alias("u"), "v")
-    edges = _verified(by_print.union(same_print).union(by_key), nodes, docs, id_col, text_col, width, tenths)
-    open_ = keys
-    del near, by_print, same_print, met, by_key, ends
-    for turn in count(1):
-        release(docs.sparkSession)
-        joined = components(edges)
-        rooted = open_.join(joined, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        # Keys that several components hold; which do so can only become fewer.
-        several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-        rooted = materialise(rooted.join(several, "key", "left_semi"))
-        # Keys of like members pick like nodes, so what two nodes share often is one candidate. Spark keeps a limit of each task before the shuffle.
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        top = rooted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PICKED)
-        picked = top.groupBy("key").agg(F.collect_list(F.struct("node", "size", "root")).alias("picked"))
-        others = F.filter("picked", lambda p: (p["root"] != F.col("root")) & (10 * F.least(p["size"], F.col("size")) >= tenths * F.greatest(p["size"], F.col("size"))))
-        pairs = rooted.join(picked, "key").select("node", F.explode(others).alias("p"))
-        found = _verified(pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")), nodes, docs, id_col, text_col, width, tenths)
-        if found.isEmpty():
-            return joined
-        edges, open_ = materialise(edges.union(found)), rooted.select("key", "node", "size")
-        del joined, rooted, several, top, picked, pairs, found
+    more = _hopeful(by_print.union(same_print), nodes, tenths)
+
+    def candidates(rooted: DataFrame, every: bool) -> DataFrame:
+        rows = rooted.join(nodes.select("node", "size", "bits"), "node").select(*unit, "side", "node", "root", "size", "bits")
+        return rows.repartition(n, *unit).sortWithinPartitions(*unit).mapInArrow(_joining(every, tenths), "u bigint, v bigint")
+
+    first = candidates(units.withColumn("root", F.col("node")), False)
+    joined = components(_verified(first.union(more), nodes, docs, id_col, text_col, width, tenths))
+    del near, by_print, same_print, more, first
+    release(docs.sparkSession)
+    rooted = materialise(units.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = rooted.groupBy(unit).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(unit)
+    found = _verified(candidates(rooted.join(several, unit, "left_semi"), True), nodes, docs, id_col, text_col, width, tenths)
+    if found.isEmpty():
+        return joined
+    return components(found.union(joined.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, tenths: int = TENTHS) -> DataFrame:
@@ -471,8 +569,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = materialise(prints.groupBy("node").agg(least, *attributes).select("node", "s.*", "fp", "size", "bits", "keys"))
     prints = materialise(prints.select("doc_id", "node"))
     nodes = materialise(whole.drop("keys"))
+    units = _units(whole.select("node", "size", F.explode("keys").alias("key")))
+    del whole
     release(docs.sparkSession)
-    roots = _similar(nodes, whole.select("node", "size", F.explode("keys").alias("key")), docs, id_col, text_col, width, tenths)
+    roots = _similar(nodes, units, docs, id_col, text_col, width, tenths)
+    del units
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct("z", "id", "node")).alias("s")).select(F.col("s.id").alias("id"), "s.node", F.lit(True).alias("kept"))
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from scholia.llm import simhash
 
@@ -145,3 +146,55 @@ def test_parities_never_tell_sets_further_apart_than_they_are():
         pa, pb = (simhash.parity(np.unique(np.array(x, dtype=np.uint64))) for x in (a, b[: n + (m - n) // 2]))
         assert simhash._apart(pa, pb) <= len(set(a) ^ set(b[: n + (m - n) // 2]))
         assert simhash._apart(pa, pa) == 0
+
+
+def test_dedup_finds_a_pair_whose_only_key_has_many_nodes(spark, docs, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(120)]
+    for k in range(0, 120, 4):  # one word of every fourth is another in a copy
+        words = texts[k].split(" ")
+        words[50] = "other"
+        texts.append(" ".join(words))
+    far = sum((brute_fingerprint(texts[k]) ^ brute_fingerprint(texts[120 + k // 4])).bit_count() > 3 for k in range(0, 120, 4))
+    assert far > 5
+    sets = simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda *a: sets(*a).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(texts)).collect()) == list(range(120))
+
+
+def test_each_two_nodes_of_a_key_meet_in_one_unit(spark):
+    rows = [(1, n, 10) for n in range(50)] + [(2, n, 10) for n in range(3)] + [(3, 9, 10), (4, 1, simhash.BLOCK_MEMBERS), (4, 2, 10)]
+    met = {}
+    units = {}
+    for r in simhash._units(spark.createDataFrame(rows, "key bigint, node bigint, size bigint"), 8).collect():
+        units.setdefault((r.key, r.x, r.y), []).append(r)
+    for (key, x, y), own in units.items():
+        for a, b in ((a, b) for a in own for b in own if a.node < b.node and (x == y or a.side != b.side)):
+            met[key, a.node, b.node] = met.get((key, a.node, b.node), 0) + 1
+    want = {(1, a, b) for b in range(50) for a in range(b)} | {(2, a, b) for b in range(3) for a in range(b)} | {(4, 1, 2)}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_rows_of_a_unit_are_compared_like_single_bitmaps(monkeypatch):
+    rng = random.Random(7)
+    group, side, root, own = [], [], [], []
+    for g in range(6):
+        base = [rng.getrandbits(64) for _ in range(66 << g)]
+        for k in range(12):
+            own.append(np.unique(np.array([x if rng.random() > 0.02 * k else rng.getrandbits(64) for x in base[: len(base) - 2 * k]], dtype=np.uint64)))
+            group.append(g)
+            side.append(k % 2 if g > 3 else 0)
+            root.append(k // 2 if g else k)
+    bits, size = [simhash.parity(x) for x in own], np.array([len(x) for x in own])
+    want = set()
+    for j in range(len(own)):
+        for i in range(j):
+            few, many = sorted((size[i], size[j]))
+            if group[i] == group[j] and root[i] != root[j] and (group[i] <= 3 or side[i] != side[j]) and 10 * few >= 8 * many:
+                if 18 * simhash._apart(bits[i], bits[j]) <= 2 * (size[i] + size[j]):
+                    want.add((i, j, simhash._apart(bits[i], bits[j])))
+    assert len(want) > 20 and len({len(bits[i]) != len(bits[j]) for i, j, _ in want}) == 2
+    for most in (simhash.WORDS_AT_ONCE, 7):
+        monkeypatch.setattr(simhash, "WORDS_AT_ONCE", most)
+        i, j, apart = simhash.near_rows(np.array(group), np.array(side), np.array(root), size, bits, 8)
+        assert set(zip(i.tolist(), j.tolist(), apart.tolist(), strict=True)) == want and len(i) == len(want)
