@@ -49,6 +49,8 @@ TENTHS = 8
 #: Most nodes of a block, and members of all sets in it: a key with more has several, and each two of them meet.
 BLOCK = 1024
 BLOCK_MEMBERS = 1 << 24
+#: Most members of all sets of a block where whole sets are compared, 8 bytes each.
+SET_MEMBERS = 1 << 20
 #: Words of bitmaps that are compared at once.
 WORDS_AT_ONCE = 1 << 18
 #: Bands of a set's signature and minima in each: sets of similarity s share no band with odds of (1 - s ** 4) ** 32,
@@ -394,40 +396,47 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
     return pairs.filter(F.arrow_udf(near, "boolean")("bu", "bv", F.col("su") + F.col("sv"))).select("u", "v")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of ``tenths`` / 10 or more."""
+def _whole_sets(some: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Materialised rows (node, own): the whole sets of ``some`` (distinct rows of a node)."""
 
     def run(texts: pa.Array) -> pa.Array:
         sets = [shingles(t, width) for t in texts.cast(pa.binary()).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own"])
 
-    pairs = materialise(pairs.distinct())
-    if pairs.isEmpty():
-        return pairs
-    some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     ids = materialise(nodes.join(some, "node").select("id").distinct())
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(_held(ids, F.col("doc")))
     # Written first, so that no plan can hash other rows than those that a pair needs.
     texts = materialise(rows.join(ids, F.col("doc").eqNullSafe(F.col("id")), "left_semi").select("text"))
     held = texts.select(F.arrow_udf(run, "struct<node:bigint,own:array<bigint>>")("text").alias("s"))
-    sets = materialise(held.select("s.*").join(some, "node", "left_semi").dropDuplicates(["node"]))
+    return materialise(held.select("s.*").join(some, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of ``tenths`` / 10 or more."""
+    pairs = materialise(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs
+    some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = _whole_sets(some, nodes, docs, id_col, text_col, width)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return materialise(both.filter(10 * common >= tenths * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def _units(keys: DataFrame, block: int = BLOCK) -> DataFrame:
+def _units(keys: DataFrame, block: int = BLOCK, members: int = BLOCK_MEMBERS) -> DataFrame:
     """Materialised rows (key, x, y, side, node): the nodes of a key, or of two blocks ``x`` and ``y`` of a large key's.
 
-    Rows (key, node, size) of keys that one node holds are left out. A node is in
-    block ``side``; in a unit of two blocks only nodes of different blocks meet,
-    in a unit of one block all do, so each two nodes of a key meet once.
+    Rows (key, node, size) of keys that one node holds are left out; other columns
+    stay. A node is in block ``side``; in a unit of two blocks only nodes of
+    different blocks meet, in a unit of one block all do, so each two nodes of a
+    key meet once.
     """
+    own = [c for c in keys.columns if c not in ("key", "size")]
     dealt = keys.repartition("key")  # written once, read by both sides of the join
     counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("m")).filter("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
-    rows = dealt.join(counts.select("key", blocks.alias("b")), "key").select("key", "node", F.pmod(F.xxhash64("node"), "b").cast("int").alias("side"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
-    return materialise(rows.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("m") / members)).cast("int")
+    rows = dealt.join(counts.select("key", blocks.alias("b")), "key").select("key", *own, F.pmod(F.xxhash64("node"), "b").cast("int").alias("side"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
+    return materialise(rows.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", *own))
 
 
 def _apart_at(words: np.ndarray, at: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -475,25 +484,54 @@ def near_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.nd
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
-def _joining(every: bool, tenths: int):
-    """An Arrow pass over units sorted by (key, x, y): all candidates, or two for each row.
-
-    The two are the row nearest to it, and of all that are near the first in an
-    order by hash, which joins a group of like rows to one of them.
-    """
-
-    def pairs(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        side, node, root, size = (t.column(c).to_numpy() for c in ("side", "node", "root", "size"))
-        i, j, apart = near_rows(group, side, root, size, t.column("bits").to_pylist(), tenths)
-        if not every and len(i):
-            a, b, far, mixed = np.r_[i, j], np.r_[j, i], np.r_[apart, apart], node.view(np.uint64) * _FACTORS[0]
-            by_far, by_hash = np.lexsort((mixed[b], far, a)), np.lexsort((mixed[b], a))
-            first = np.r_[True, a[by_far][1:] != a[by_far][:-1]]  # a's runs are alike in both orders
-            some = np.r_[by_far[first], by_hash[first]]
-            i, j = a[some], b[some]
-        u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-        once = np.unique(np.stack([u, v], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Indices of the links (i, j) between ``n`` rows that are a spanning forest of all, the least by ``order`` (last key first)."""
+    rank, label, got = np.lexsort(order), np.arange(n), []
+    a, b, at = i[rank], j[rank], np.arange(len(i))
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        other = x != y
+        at, x, y = at[other], x[other], y[other]
+        if not len(at):
+            return rank[np.concatenate(got)] if got else rank[:0]
+        least = np.full(n, len(i))
+        np.minimum.at(least, x, at)
+        np.minimum.at(least, y, at)
+        least = np.unique(least[least < len(i)])
+        got.append(least)
+        moved = forest(n, np.stack([label[a[least]], label[b[least]]], axis=1))
+        to = np.arange(n)
+        to[moved[:, 0]] = moved[:, 1]
+        label = to[label]
+
+
+def similar_rows(i: np.ndarray, j: np.ndarray, root: np.ndarray, own: list[np.ndarray], tenths: int) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of rows with sets ``own``, similar ones that join the roots as all similar ones do."""
+    label, got = np.unique(root, return_inverse=True)[1], []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    size = np.array([len(x) for x in own], dtype=np.int64)
+    k = 0
+    while k < len(i):
+        # The next pairs of one row i, of SET_MEMBERS members of the others together, one pair at least.
+        to = int(np.searchsorted(i, i[k], "right"))
+        to = k + max(1, int(np.searchsorted(np.cumsum(size[j[k:to]]), SET_MEMBERS, "right")))
+        a, others = int(i[k]), j[k:to]
+        others, k = others[label[others] != label[a]], to
+        if not len(others):
+            continue
+        x = np.concatenate([own[b] for b in others])
+        at = np.minimum(np.searchsorted(own[a], x), len(own[a]) - 1)
+        common = np.add.reduceat((own[a][at] == x).astype(np.int64), np.cumsum(size[others]) - size[others])
+        for b in others[10 * common >= tenths * (size[a] + size[others] - common)].tolist():
+            if label[a] != label[b]:
+                got.append((a, b))
+                label[label == label[b]] = label[a]
+    return got
+
+
+def _by_unit(rows):
+    """An Arrow pass over rows sorted by (key, x, y): ``rows`` gets whole units and their numbers, increasing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -506,26 +544,78 @@ def _joining(every: bool, tenths: int):
             group = np.cumsum(np.r_[False, (unit[1:] != unit[:-1]).any(axis=1)])
             whole = int(np.searchsorted(group, group[-1]))
             if whole:
-                yield pairs(held.slice(0, whole), group[:whole])
+                yield rows(held.slice(0, whole), group[:whole])
                 held = held.slice(whole)
         if held is not None and len(held):
             unit = np.stack([held.column(c).to_numpy() for c in ("key", "x", "y")], axis=1)
-            yield pairs(held, np.cumsum(np.r_[False, (unit[1:] != unit[:-1]).any(axis=1)]))
+            yield rows(held, np.cumsum(np.r_[False, (unit[1:] != unit[:-1]).any(axis=1)]))
 
     return run
 
 
+def _columns(t: pa.Table) -> list[np.ndarray]:
+    return [t.column(c).to_numpy() for c in ("side", "node", "root")]
+
+
+def _joining(tenths: int):
+    """An Arrow pass over units: a spanning forest of the rows that sizes and bitmaps leave possible, of the nearest.
+
+    Of pairs as near the first in an order by hash is taken, so that the units of
+    several keys take the same ones.
+    """
+
+    def pairs(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        side, node, root = _columns(t)
+        i, j, apart = near_rows(group, side, root, t.column("size").to_numpy(), t.column("bits").to_pylist(), tenths)
+        mixed = node.view(np.uint64) * _FACTORS[0]
+        some = nearest_forest(len(node), i, j, (np.maximum(mixed[i], mixed[j]), np.minimum(mixed[i], mixed[j]), apart))
+        u, v = np.maximum(node[i[some]], node[j[some]]), np.minimum(node[i[some]], node[j[some]])
+        once = np.unique(np.stack([u, v], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+
+    return _by_unit(pairs)
+
+
+def _possible(tenths: int):
+    """An Arrow pass over units: the rows to which sizes and bitmaps leave a similar one of another root possible."""
+
+    def some(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        side, _, root = _columns(t)
+        i, j, _ = near_rows(group, side, root, t.column("size").to_numpy(), t.column("bits").to_pylist(), tenths)
+        at, names = np.unique(np.r_[i, j]), ["key", "node", "root", "size"]
+        return pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[at]) for c in names], names=names)
+
+    return _by_unit(some)
+
+
+def _linking(tenths: int):
+    """An Arrow pass over units with whole sets: links (u, v) of similar sets that join the roots as all of the units' do."""
+
+    def pairs(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        side, node, root = _columns(t)
+        lists = t.column("own").combine_chunks()
+        cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        own = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        i, j, _ = near_rows(group, side, root, np.diff(cuts).astype(np.int64), [parity(x) for x in own], tenths)
+        got = np.array(similar_rows(i, j, root, own, tenths), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[got[:, 0]]), pa.array(node[got[:, 1]])], names=["u", "v"])
+
+    return _by_unit(pairs)
+
+
 def _similar(nodes: DataFrame, units: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, tenths: int) -> DataFrame:
     """(node, root) of nodes that a chain of similar sets joins.
 
     Fingerprints of similar sets differ in about ten bits, beyond any budget that
     the trie join can prune by, so a set is also known by keys: the bands of a
-    signature of minima. Links of the trie join, and two near nodes of a key for
-    each of its nodes, are verified first. Then every two nodes of a key that are
-    still in different components are compared by sizes and bitmaps, which never
-    tell similar sets apart, and all pairs that these leave possible are verified
-    on the sets. So no pair of similar sets that shares a key stays apart, however
-    many nodes the key has.
+    signature of minima. Links of the trie join, and of each key a spanning forest
+    of the nodes that are near by sizes and bitmaps, are verified first. Then every
+    two nodes of a key that are still in different components are compared by sizes
+    and bitmaps, which never tell similar sets apart. To the nodes that have a
+    possible partner go their whole sets, and each two of them in a key are compared
+    again, on the sets where need be; of the links found there a spanning forest is
+    given. So no pair of similar sets that shares a key stays apart, however many
+    nodes the key has, and a unit gives a row for each of its nodes at most.
     """
     n, unit = shuffle_partitions(docs.sparkSession), ["key", "x", "y"]
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("v")))
@@ -534,17 +624,23 @@ def _similar(nodes: DataFrame, units: DataFrame, docs: DataFrame, id_col: str, t
     same_print = nodes.join(firsts, "fp").filter("node > v").select(F.col("node").alias("u"), "v")
     more = _hopeful(by_print.union(same_print), nodes, tenths)
 
-    def candidates(rooted: DataFrame, every: bool) -> DataFrame:
-        rows = rooted.join(nodes.select("node", "size", "bits"), "node").select(*unit, "side", "node", "root", "size", "bits")
-        return rows.repartition(n, *unit).sortWithinPartitions(*unit).mapInArrow(_joining(every, tenths), "u bigint, v bigint")
+    def met(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(*unit, "side", "node", "root", *more).repartition(n, *unit).sortWithinPartitions(*unit)
 
-    first = candidates(units.withColumn("root", F.col("node")), False)
+    known = nodes.select("node", "size", "bits")
+    first = met(units.withColumn("root", F.col("node")).join(known, "node"), "size", "bits").mapInArrow(_joining(tenths), "u bigint, v bigint")
     joined = components(_verified(first.union(more), nodes, docs, id_col, text_col, width, tenths))
     del near, by_print, same_print, more, first
     release(docs.sparkSession)
     rooted = materialise(units.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = rooted.groupBy(unit).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(unit)
-    found = _verified(candidates(rooted.join(several, unit, "left_semi"), True), nodes, docs, id_col, text_col, width, tenths)
+    apart = met(rooted.join(several, unit, "left_semi").join(known, "node"), "size", "bits").mapInArrow(_possible(tenths), "key bigint, node bigint, root bigint, size bigint")
+    apart = materialise(apart.distinct())
+    if apart.isEmpty():
+        return joined
+    sets = _whole_sets(apart.select("node").distinct(), nodes, docs, id_col, text_col, width)
+    found = met(_units(apart, members=SET_MEMBERS).join(sets, "node"), "own").mapInArrow(_linking(tenths), "u bigint, v bigint")
+    found = materialise(found.distinct())
     if found.isEmpty():
         return joined
     return components(found.union(joined.select(F.col("node").alias("u"), F.col("root").alias("v"))))

@@ -198,3 +198,75 @@ def test_rows_of_a_unit_are_compared_like_single_bitmaps(monkeypatch):
         monkeypatch.setattr(simhash, "WORDS_AT_ONCE", most)
         i, j, apart = simhash.near_rows(np.array(group), np.array(side), np.array(root), size, bits, 8)
         assert set(zip(i.tolist(), j.tolist(), apart.tolist(), strict=True)) == want and len(i) == len(want)
+
+
+def test_a_group_of_nearly_similar_texts_gives_rows_by_its_nodes_not_its_pairs(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(100)], []
+    for k in range(15):  # each two share 84 of 108 runs, 0.78, which bitmaps often leave possible
+        words = list(base)
+        words[6 * k + 5], words[6 * k + 6] = f"a{k}", f"b{k}"
+        texts.append(" ".join(words))
+    bits = [simhash.parity(simhash.shingles(t.encode(), 5)) for t in texts]
+    assert sum(18 * simhash._apart(bits[i], bits[j]) <= 2 * 192 for j in range(15) for i in range(j)) > 60
+    sets, verified, units, rows = simhash._sets, simhash._verified, simhash._units, []
+    monkeypatch.setattr(simhash, "_sets", lambda *a: sets(*a).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: rows.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(simhash, "_units", lambda keys, *a, **b: rows.append(keys.count()) or units(keys, *a, **b))
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs(texts)).collect()) == list(range(15))
+    assert sum(rows) <= 3 * 15  # the key's nodes, a forest of them, those with a possible partner
+
+
+def test_second_pass_alone_joins_what_similar_sets_join(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    texts, want = [], []
+    for g in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        want.append(len(texts))
+        for k in range(12):  # a chain: each similar to the one before
+            texts.append(" ".join(words))
+            words[8 * k + 4] = f"x{g}_{k}"
+    sets = simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda *a: sets(*a).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: pairs.limit(0))
+    for members in (simhash.SET_MEMBERS, 900):  # one block, and several
+        monkeypatch.setattr(simhash, "SET_MEMBERS", members)
+        assert sorted(r.doc_id for r in simhash.deduplicated(docs(texts)).collect()) == want
+
+
+def test_nearest_forest_is_least_and_spans():
+    rng = random.Random(10)
+    for n, m in ((1, 0), (5, 0), (30, 20), (30, 200), (60, 60)):
+        links = [(i, j, rng.randrange(6), k) for k, (i, j) in enumerate(sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}))]
+        label, want = list(range(n)), set()
+        for i, j, _, k in sorted(links, key=lambda x: (x[2], x[3])):
+            if label[i] != label[j]:
+                label = [label[i] if x == label[j] else x for x in label]
+                want.add(k)
+        i, j, far, at = np.array(links, dtype=np.int64).reshape(-1, 4).T
+        got = simhash.nearest_forest(n, i, j, (at, far))
+        assert set(got.tolist()) == want and len(got) == len(want)
+
+
+def test_similar_rows_join_as_all_similar_pairs_do(monkeypatch):
+    rng = random.Random(11)
+    own, root = [], []
+    for g in range(5):
+        base = [rng.getrandbits(64) for _ in range(80)]
+        for k in range(8):
+            base = [x if rng.random() > 0.06 else rng.getrandbits(64) for x in base]
+            own.append(np.unique(np.array(base, dtype=np.uint64)))
+            root.append(10 * g + k // 2)
+    i, j = (np.array(x) for x in zip(*((a, b) for b in range(40) for a in range(b) if root[a] != root[b]), strict=True))
+
+    def joined(pairs):
+        label = list(root)
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {tuple(k for k in range(40) if label[k] == x) for x in label}
+
+    like = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if 10 * len(np.intersect1d(own[a], own[b])) >= 8 * len(np.union1d(own[a], own[b]))]
+    for most in (simhash.SET_MEMBERS, 1):
+        monkeypatch.setattr(simhash, "SET_MEMBERS", most)
+        got = simhash.similar_rows(i, j, np.array(root), own, 8)
+        assert set(got) <= set(like) and joined(got) == joined(like) and len(got) == 20 - len(joined(like)) > 3
